@@ -6,8 +6,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe
-from tessera.llm.common import read_table
+from tessera.llm import bpe, naming, token_files, url_filter
+from tessera.llm.common import fresh_dir, read_table
+
+
+#: Fixed values of the contract: (host, path, action).
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = fresh_dir(spark, "tokens")
+    token_files.write(docs, out, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, end_id=0, vocabulary=50_257)
+    return token_files.read(spark, out, tokens=False)
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.exact_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.build(spark, URL_RULES)).drop("url")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm import queries as q
+from tessera.llm import sql
 
 
 def queries():
@@ -10,4 +11,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {name: text for name, text in vars(sql).items() if name.startswith("op")}

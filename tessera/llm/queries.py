@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, naming, token_files, url_filter
+from tessera.llm import bpe, minhash, naming, token_files, url_filter
 from tessera.llm.common import fresh_dir, read_table
 
 
@@ -20,6 +20,10 @@ URL_RULES = [
 ]
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = fresh_dir(spark, "tokens")

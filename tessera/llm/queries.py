@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, minhash, naming, pii, token_files, url_filter
+from tessera.llm import bpe, cover_tree, langid, minhash, naming, pii, token_files, url_filter
 from tessera.llm.common import fresh_dir, read_table
 
 
@@ -35,6 +35,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = langid.fit(docs.filter("NOT held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [pii.count_of(k).alias(f"n_{k}") for k in pii.BASE]

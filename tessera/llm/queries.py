@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, cover_tree, langid, minhash, naming, pii, token_files, url_filter
+from tessera.llm import bpe, cover_tree, html_text, langid, minhash, mixing, naming, pii, token_files, url_filter
 from tessera.llm.common import fresh_dir, read_table
 
 
@@ -24,6 +24,23 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Production weights: domains alike, languages as given, sources of one language alike.
+MIX_WEIGHTS = {("*", "en"): 0.5, ("*", "de"): 0.2, ("*", "fr"): 0.2, ("*", "es"): 0.1, ("*", "none"): 0.1}
+MIX_SHARE = 0.6
+MIX_EPOCHS = 4
+
+
+def source_domain(source: str = "source"):
+    """The domain of a source: its trailing number modulo 4; a source without a number is a domain of its own."""
+    number = F.regexp_extract(F.col(source), "([0-9]{1,9})$", 1)
+    return F.when(number != "", F.concat(F.lit("domain"), (number.cast("int") % 4).cast("string"))).otherwise(F.col(source))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), source_domain(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS)
+    return mixed.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), mixing.tokens("text").alias("n_tokens"), "copies")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = fresh_dir(spark, "tokens")
@@ -46,6 +63,11 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [pii.count_of(k).alias(f"n_{k}") for k in pii.BASE]

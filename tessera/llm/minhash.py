@@ -3,15 +3,17 @@
 Under each of HASHES permutations both the least and the greatest value of a set are kept, so a
 signature of 2 * HASHES rows costs HASHES evaluations for each shingle. A band takes ROWS minima, or
 ROWS maxima, of different permutations; at a similarity of 0.75 two sets share no band with a chance of
-(1 - 0.75 ** 4) ** 32, five in a million. Every shared band is a candidate; every link is confirmed
-on the full sets.
+(1 - 0.75 ** 6) ** 56, two in a hundred thousand, while sets that share a third (a long passage in common)
+meet in a few hundredths of the cases. Every link is confirmed on the full sets.
 
 Documents with equal sets form a class, and the rest works on classes. In a bucket (a band's value)
 some members are leaders in each round: each is compared with all other members that are not yet in
 its component, and then leaves the bucket. A bucket is finished when its members are of one component,
-so a bucket of n near copies costs about n comparisons and not n * n, and no comparison that could join
-two components is left out. The number of leaders grows fourfold from round to round, so the
-number of rounds grows with the logarithm of the largest bucket. Nothing but counts reaches the driver.
+so a bucket of n near copies costs about n comparisons and not n * n. Two rounds over an eighth of the
+buckets come first: they tie most of a large group together, and the two rounds over all buckets then
+find most of its members in one component. What is left are buckets of documents that share a band and
+are no near copies; there every member meets every other inside tasks of bounded size, which return forests
+and no pairs. No comparison that could join two components is left out. Nothing but counts reaches the driver.
 
 Defined results: a null or empty text, or one of white space, has no shingles, links with nothing and
 stays; rows with equal texts are one class; a null id counts as larger than any other; rows stay as
@@ -29,22 +31,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, drop, ship
-from tessera.llm.components import components
+from tessera.llm.components import least_neighbour, renamed
 
 WORDS = 5
 PERCENT = 75
-HASHES = 64
-ROWS = 4
+HASHES = 168
+ROWS = 6
 SEED = 20_240_607
 #: Classes whose ids may be broadcast (8 bytes each) to fetch their texts; more are fetched by a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Members of a bucket that one part holds, about; two parts meet in a task.
+PART = 256
 _BYTES = 1 << 22
 _NO_ID = -(2**63)
 
 _rng = np.random.default_rng(SEED)
 _TABLE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
 _BASE = int(_rng.integers(2**32, 2**63, dtype=np.uint64)) | 5 | 1
-_ODD = _rng.integers(1, 2**64, WORDS, dtype=np.uint64) | np.uint64(1)
+_ODD = _rng.integers(1, 2**64, max(WORDS, ROWS), dtype=np.uint64) | np.uint64(1)
 _XOR = _rng.integers(0, 2**64, HASHES, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
@@ -206,75 +210,141 @@ def full_sets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs u, v of classes, those similar enough on their full sets."""
-    one = sets.select(F.col("class").alias("v"), F.col("set").alias("sv"))
-    two = sets.select(F.col("class").alias("u"), F.col("set").alias("su"))
-    both = pairs.join(one, "v").join(two, "u")
-    both = both.select("u", "v", F.size("su").cast("bigint").alias("nu"), F.size("sv").cast("bigint").alias("nv"), F.size(F.array_intersect("su", "sv")).cast("bigint").alias("both"))
-    return both.filter(F.expr(f"100 * both >= {percent} * (nu + nv - both)")).select("u", "v")
+    one = sets.select(F.col("node").alias("u"), F.col("set").alias("su"))
+    two = sets.select(F.col("node").alias("v"), F.col("set").alias("sv"))
+    both = pairs.join(one, "u").join(two, "v")
+    both = both.select(*pairs.columns, F.size("su").cast("bigint").alias("nu"), F.size("sv").cast("bigint").alias("nv"), F.size(F.array_intersect("su", "sv")).cast("bigint").alias("both"))
+    return both.filter(F.expr(f"100 * both >= {percent} * (nu + nv - both)")).select(*pairs.columns)
 
 
 def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row."""
-    spark = df.sparkSession
     rows = cut(sketch(df, doc_id, text), "sketch")
-    classes = cut(rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("head"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
-    member = classes.select(F.explode("bands").alias("bucket"), "class")
-    shared = member.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
+    classes = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("head"), F.max("n_shingles").alias("n"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    own = rows.select("class", F.col("id").alias("head"), "bands").join(classes.select("class", F.col("head").alias("first"), "node"), "class").filter("head <=> first")
+    member = own.select(F.explode("bands").alias("bucket"), "node")
+    shared = member.groupBy("bucket").agg(F.count("*").cast("int").alias("size")).filter("size > 1")
     members = cut(member.join(shared, "bucket"), "members")
-    wanted = cut(members.groupBy("class").agg(F.lit(1).alias("_one")).join(classes.select("class", "head", "n"), "class").select("class", "head", "n"), "wanted")
+    wanted = members.groupBy("node").agg(F.lit(1).alias("_one")).select("node")
+    wanted = cut(wanted.join(classes, "node"), "wanted")
     n_wanted = wanted.count()
-    if not n_wanted:
-        roots, sets = None, None
-    else:
+    found = classes.select("class", F.col("head").alias("component_id"))
+    if n_wanted:
         heads = wanted.select(F.coalesce("head", F.lit(_NO_ID)).alias("_head")).distinct()
-        own = df.withColumn("_head", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NO_ID)))
-        fetched = own.join(F.broadcast(heads) if n_wanted <= BROADCAST_IDS else heads, "_head", "left_semi")
-        sets = cut(full_sets(fetched, doc_id, text), "sets")
-        if sets.count() > n_wanted:
-            sets = cut(sets.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.first("set").alias("set")), "sets")
-        roots = _link(members, wanted, sets, percent)
-    if roots is None:
-        found = classes.select("class", F.col("head").alias("component_id"))
-    else:
-        least = cut(roots.join(classes.select(F.col("class").alias("node"), "head"), "node").groupBy("root").agg(F.min("head").alias("component_id")), "least")
-        of = roots.join(least, "root").select(F.col("node").alias("class"), "component_id")
-        found = classes.select("class", "head").join(of, "class", "left").select("class", F.coalesce("component_id", "head").alias("component_id"))
-    found = cut(found, "found")
-    drop(members, wanted, sets, classes)
+        fetched = df.withColumn("_head", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NO_ID)))
+        fetched = fetched.join(F.broadcast(heads) if n_wanted <= BROADCAST_IDS else heads, "_head", "left_semi")
+        sets = cut(full_sets(fetched, doc_id, text).join(wanted.select("class", "node"), "class").select("node", "set"), "sets")
+        if sets.count() > n_wanted:  # an id stands for several rows
+            old, sets = sets, cut(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
+            drop(old)
+        roots = _link(members, wanted.select("node", "n", F.col("node").alias("root")), sets, percent)
+        least = cut(roots.join(classes.select("node", "head"), "node").groupBy("root").agg(F.min("head").alias("component_id")), "least")
+        of = roots.join(least, "root").select("node", "component_id")
+        found = classes.select("class", "node", "head").join(of, "node", "left").select("class", F.coalesce("component_id", "head").alias("component_id"))
+        found = cut(found, "found")
+        drop(wanted, sets, roots, least, classes)
+    drop(members)
     out = rows.select("id", "n_shingles", "class").join(found, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _link(members: DataFrame, wanted: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """node, root of the classes that have a link."""
-    sizes = wanted.select("class", "n")
-    roots, leaders, tables = None, 1, []
-    while True:
-        now = members if roots is None else members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
-        now = now.withColumn("root", F.col("class") if roots is None else F.coalesce("root", "class")).join(sizes, "class")
-        slot = F.lit(0) if leaders == 1 else F.pmod(F.xxhash64("class"), F.lit(leaders))
-        now = cut(now.select("bucket", "class", "root", "n"), "now")
-        spread = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("bucket")
-        open_ = cut(now.join(spread, "bucket"), "open")
-        drop(now)
-        first = open_.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct("class", "root", "n")).alias("l"))
-        first = cut(first.select("bucket", F.col("l.class").alias("lc"), F.col("l.root").alias("lr"), F.col("l.n").alias("ln")), "leaders")
-        if first.isEmpty():
-            drop(first, open_, *tables)
-            return roots
-        pairs = open_.join(first, "bucket").filter(f"root <> lr AND 100 * least(n, ln) >= {percent} * greatest(n, ln)")
-        pairs = pairs.select(F.least("class", "lc").alias("u"), F.greatest("class", "lc").alias("v")).groupBy("u", "v").agg(F.lit(1).alias("_one")).select("u", "v")
-        pairs = cut(pairs, "pairs")
-        links = cut(_confirmed(pairs, sets, percent), "confirmed")
-        drop(pairs)
-        known = links if roots is None else links.unionAll(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        if not links.isEmpty():
-            roots, old = components(known), roots
-            drop(old)
-        left = cut(open_.select("bucket", "class").join(first.select("bucket", F.col("lc").alias("class")), ["bucket", "class"], "left_anti"), "left")
-        drop(links, open_, first, *tables)
-        members, tables, leaders = left, [left], leaders * 4
+def _cross(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links between different roots among these sets: a forest, as pairs of roots."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    of = np.repeat(np.arange(len(sets)), sizes)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = times[column] > 1
+    order = np.cumsum(times > 1) - 1
+    of, column = of[several], order[column[several]]
+    both = np.zeros((len(sets), len(sets)), dtype=np.float64)
+    by = np.argsort(column, kind="stable")
+    of, column = of[by], column[by]
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [a, a + 4096])
+        dense = np.zeros((len(sets), 4096), dtype=np.float32)
+        dense[of[lo:hi], column[lo:hi] - a] = 1
+        both += dense @ dense.T
+    near = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    i, j = np.nonzero(near & (roots[:, None] > roots[None, :]))
+    names, at = np.unique(roots, return_inverse=True)
+    least, x, y = np.arange(len(names)), at[i], at[j]
+    while len(x):
+        before = least.copy()
+        np.minimum.at(least, x, least[y])
+        np.minimum.at(least, y, least[x])
+        least = least[least]
+        if (least == before).all():
+            break
+    moved = np.nonzero(least != np.arange(len(names)))[0]
+    return names[moved], names[least[moved]]
+
+
+def _block_links(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between roots in the buckets that still hold several: every member against every other, in tasks of two
+    parts of a bucket each, whose sizes are bounded. A task returns a forest, not its pairs."""
+    now = members.join(roots, "node")
+    open_ = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("bucket")
+    parts = F.expr(f"1 + size DIV {PART}")
+    dealt = now.join(open_, "bucket").select("bucket", "node", "root", F.pmod(F.xxhash64("node"), parts).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("o"))
+    dealt = dealt.select("bucket", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "node", "root").join(sets, "node")
+
+    def run(table: pa.Table) -> pa.Table:
+        own = [np.asarray(x.values, dtype=np.int64) for x in table.column("set")]
+        u, v = _cross(own, table.column("root").to_numpy(), percent)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return dealt.groupBy("bucket", "a", "b").applyInArrow(run, "u long, v long")
+
+
+def _link(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, n, root: the least node reachable by links. members: bucket, node, size (of the bucket); roots: each node its own.
+
+    A round compares members with leaders, turns confirmed links into links between roots, renames each root to
+    the least of itself and its neighbours, and keeps the links that are still between different roots for the next."""
+    links, names = None, None
+
+    def absorb(new: DataFrame | None) -> None:
+        nonlocal links, names, roots
+        waiting = renamed(links, names) if links is not None else None
+        new = waiting if new is None else new if waiting is None else new.unionAll(waiting)
+        made = cut(new.groupBy("u", "v").agg(F.lit(1).alias("_one")).select("u", "v"), "links")
+        drop(links, names)
+        links = None if made.isEmpty() else made
+        if links is None:
+            drop(made)
+            return
+        names = cut(least_neighbour(links), "names")
+        after = roots.join(names.select(F.col("node").alias("root"), "least"), "root", "left")
+        old, roots = roots, cut(after.select("node", "n", F.coalesce("least", "root").alias("root")), "roots")
+        drop(old)
+
+    before = None
+    for some, leaders in ((members.filter(F.pmod(F.xxhash64("bucket"), F.lit(8)) == 0), 1), (None, 2), (members, 1), (None, 2)):
+        if some is None:
+            some = before.filter(~F.array_contains(F.col("ls.node"), F.col("node"))).select("bucket", "size", "node")
+        now = some.join(roots, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.expr("1 + size DIV 256")).cast("int"))
+        slots = now.groupBy("bucket", "size", F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)).alias("slot")).agg(
+            F.min(F.struct("node", "root", "n")).alias("l"), F.min("root").alias("a"), F.max("root").alias("z")
+        )
+        open_ = slots.groupBy("bucket", "size").agg(F.collect_list("l").alias("ls"), F.min("a").alias("a"), F.max("z").alias("z")).filter("a <> z")
+        open_ = open_.select("bucket", "ls", F.explode(F.sequence(F.lit(0), F.expr("CAST(size DIV 256 AS INT)"))).alias("salt"))
+        at = cut(now.join(open_, ["bucket", "salt"]).select("bucket", "size", "node", "n", "root", "ls"), "open")
+        drop(before)
+        before = at
+        other = F.expr(f"filter(ls, l -> l.root <> root AND 100 * least(n, l.n) >= {percent} * greatest(n, l.n))")
+        each = at.select("node", "root", F.explode(other).alias("l"))
+        mine, theirs = F.struct("node", "root"), F.struct(F.col("l.node").alias("node"), F.col("l.root").alias("root"))
+        pairs = each.select(F.greatest(mine, theirs).alias("x"), F.least(mine, theirs).alias("y"))
+        pairs = pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.col("x.root").alias("ru"), F.col("y.root").alias("rv")).groupBy("u", "v", "ru", "rv").agg(F.lit(1).alias("_one"))
+        absorb(_confirmed(pairs.select("u", "v", "ru", "rv"), sets, percent).select(F.greatest("ru", "rv").alias("u"), F.least("ru", "rv").alias("v")))
+    left = before.filter(~F.array_contains(F.col("ls.node"), F.col("node"))).select("bucket", "size", "node")
+    absorb(_block_links(left, roots.select("node", "root"), sets, percent))
+    while links is not None:
+        absorb(None)
+    drop(before)
+    return roots
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

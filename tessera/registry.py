@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tessera.plans.catalog import QUERIES
+from tessera.plans.oracles import ORACLES
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)

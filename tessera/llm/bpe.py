@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.llm.chunks import ChunkEncoder, batches
-from tessera.llm.common import ship
+from tessera.llm.common import claim, remember, ship
 
 SHORT = 64  # bytes of a word that is merged side by side with others
 _NONE = np.int32(2**31 - 1)
@@ -184,6 +184,7 @@ def encode_words(ranks: Ranks, words: list[str], rows: int = 65_536) -> list[byt
 
 
 _coders: dict[str, tuple[Ranks, ChunkEncoder]] = {}
+remember("bpe", _coders)
 
 
 def coder(content: bytes, pattern: str) -> tuple[Ranks, ChunkEncoder]:
@@ -208,6 +209,7 @@ def encode_decode(df: DataFrame, rank_path: str, pattern: str, text: str = "text
     schema = T.StructType([*keep, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.BinaryType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         ranks, encoder = coder(content.value, pattern)
         for batch in it:
             at = 0

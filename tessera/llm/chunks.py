@@ -61,6 +61,14 @@ class ChunkEncoder:
             out.append(b"".join([b"".join((self._first(first) if first else b"", *map(get, rest))) for first, rest in own]))
         return out
 
+    def _words(self, chunk: str) -> list[str]:
+        """The words of a chunk that follows a space; plain letters, with a stop or comma at most, need no pattern."""
+        if chunk.isalpha():
+            return [" " + chunk]
+        if chunk[-1:] in (".", ",") and chunk[:-1].isalpha():
+            return [" " + chunk[:-1], chunk[-1]]
+        return self.find(" " + chunk)
+
     def _first(self, chunk: str) -> bytes:
         return b"".join([self.words[w] for w in self.find(chunk)])
 
@@ -78,7 +86,7 @@ class ChunkEncoder:
                 if first:
                     firsts.add(first)
         unseen.difference_update(self.chunks.keys())
-        split = {c: self.find(" " + c) for c in unseen}
+        split = {c: self._words(c) for c in unseen}
         words = {w for ws in split.values() for w in ws}
         for c in firsts:
             words.update(self.find(c))

@@ -50,6 +50,22 @@ def drop(*tables: DataFrame) -> None:
             t._tessera_path = None
 
 
+_caches: dict[str, list] = {}
+
+
+def remember(operator: str, cache) -> None:
+    """Names a worker's cache (anything with clear) as an operator's."""
+    _caches.setdefault(operator, []).append(cache)
+
+
+def claim(operator: str) -> None:
+    """Empties what other operators left in this worker: a reused worker holds one operator's memory at a time."""
+    for name, own in _caches.items():
+        if name != operator:
+            for cache in own:
+                cache.clear()
+
+
 _shipped: set[str] = set()
 
 

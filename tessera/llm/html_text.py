@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import cut, drop, ship
+from tessera.llm.common import claim, cut, drop, ship
 from tessera.llm.url_filter import host_of
 
 MIN_PAGES = 8
@@ -295,6 +295,7 @@ def extract(df: DataFrame, page: str = "html", url: str = "url", text: str = "te
     drop(seen, often)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("html")
         for batch in it:
             pages, subs = batch.column(page).to_pylist(), batch.column("_subs").to_pylist()
             found = [main_text(p, frozenset(s or ())) if p else "" for p, s in zip(pages, subs, strict=True)]

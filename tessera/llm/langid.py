@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import ship
+from tessera.llm.common import claim, ship
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
@@ -207,6 +207,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         m = shared.value
         for batch in it:
             found = [m.predict(t) if ok else (UNKNOWN, 0.0) for t, ok in zip(batch.column(text).to_pylist(), batch.column("_letter").to_pylist(), strict=True)]

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, drop, ship
+from tessera.llm.common import claim, cut, drop, remember, ship
 from tessera.llm.components import least_neighbour, renamed
 
 WORDS = 5
@@ -42,7 +42,7 @@ SEED = 20_240_607
 BROADCAST_IDS = 1_000_000
 #: Members of a bucket that one part holds, about; two parts meet in a task.
 PART = 256
-_BYTES = 1 << 22
+_BYTES = 1 << 20
 _NO_ID = -(2**63)
 
 _rng = np.random.default_rng(SEED)
@@ -62,16 +62,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[str, np.ndarray] = {}
+remember("minhash", _powers)
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2 ** 64, n of each at least."""
-    if _powers.get("n", 0) < n:
+    if len(_powers.get("up", ())) < n:
         with np.errstate(over="ignore"):
             up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 2**64), np.uint64)
             up[0] = down[0] = 1
-            _powers["up"], _powers["down"], _powers["n"] = np.multiply.accumulate(up), np.multiply.accumulate(down), n
+            _powers["up"], _powers["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
     return _powers["up"], _powers["down"]
 
 
@@ -176,6 +177,7 @@ def sketch(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     ship(df.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         for batch in it:
             at = 0
             for texts in _runs([t or b"" for t in batch.column(1).to_pylist()]):
@@ -198,6 +200,7 @@ def full_sets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """class and set (all shingles) of each row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         for batch in it:
             for texts in _runs([t or b"" for t in batch.column(0).to_pylist()]):
                 sets = [s for s in shingle_sets(texts) if len(s)]
@@ -291,6 +294,7 @@ def _block_links(members: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     dealt = dealt.select("bucket", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "node", "root").join(sets, "node")
 
     def run(table: pa.Table) -> pa.Table:
+        claim("minhash")
         own = [np.asarray(x.values, dtype=np.int64) for x in table.column("set")]
         u, v = _cross(own, table.column("root").to_numpy(), percent)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})

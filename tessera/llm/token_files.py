@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.chunks import ChunkEncoder, batches
-from tessera.llm.common import ship
+from tessera.llm.common import claim, remember, ship
 
 NO_ID = -(2**63)
 MANIFEST = "manifest.json"
@@ -49,6 +49,7 @@ def load(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
 
 
 _coders: dict[str, ChunkEncoder] = {}
+remember("token_files", _coders)
 
 
 def coder(content: bytes, pattern: str) -> ChunkEncoder:
@@ -85,6 +86,7 @@ def write(df: DataFrame, out_dir: str, tokenizer_path: str, pattern: str, end_id
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_files")
         encoder, part, own = coder(content.value, pattern), TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, top = _fs(out_dir)
         names = {k: (f"{top}/_{own}.{k}", f"{top}/part-{part:06d}.{k}") for k in ("tok", "off", "doc")}

@@ -287,10 +287,11 @@ def _cross(sets: list[np.ndarray], roots: np.ndarray, percent: int) -> tuple[np.
 def _block_links(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between roots in the buckets that still hold several: every member against every other, in tasks of two
     parts of a bucket each, whose sizes are bounded. A task returns a forest, not its pairs."""
-    now = members.join(roots, "node")
-    open_ = now.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z").select("bucket")
-    parts = F.expr(f"1 + size DIV {PART}")
-    dealt = now.join(open_, "bucket").select("bucket", "node", "root", F.pmod(F.xxhash64("node"), parts).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).alias("o"))
+    parts = F.expr(f"CAST(1 + size DIV {PART} AS INT)")
+    now = members.join(roots, "node").withColumn("c", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    open_ = now.groupBy("bucket", "size").agg(F.min("root").alias("a"), F.max("root").alias("z")).filter("a <> z")
+    open_ = open_.select("bucket", F.explode(F.sequence(F.lit(0), parts - 1)).alias("c"))
+    dealt = now.join(open_, ["bucket", "c"]).select("bucket", "node", "root", "c", F.explode(F.sequence(F.lit(0), parts - 1)).alias("o"))
     dealt = dealt.select("bucket", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "node", "root").join(sets, "node")
 
     def run(table: pa.Table) -> pa.Table:

@@ -40,12 +40,22 @@ def _named(table: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
     return cut(table.groupBy(*by).agg(F.lit(1).alias("_one")).sortWithinPartitions(*by).select(*keep, F.monotonically_increasing_id().alias("name")), "names")
 
 
+def _key(seed: int):
+    """A block's 64-bit key. One parameter only: transform would pass an index as the second."""
+    return lambda block: F.xxhash64(block, F.lit(seed))
+
+
+def _must(name: str) -> Column:
+    """The name of a block or pair; without one the job fails rather than lose a part of a document."""
+    return F.coalesce(F.col(name), F.raise_error(F.lit("a block has no name")).cast("long"))
+
+
 def identities(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> tuple[DataFrame, list[DataFrame]]:
     """For each row: uid (a number of the row), id, text_sha256, level and name; and the tables to drop after use."""
     whole = df.select(F.col(doc_id).alias("id"), normalised(text).alias("t"))
     seed, named, slim = 0, None, None
     while True:
-        key = lambda b, s=seed: F.xxhash64(b, F.lit(s))
+        key = _key(seed)
         named = _named(whole.select(F.explode(blocks(F.col("t"), block)).alias("b")), ["b"], [key(F.col("b")).alias("key")])
         if named.groupBy("key").count().filter("count > 1").isEmpty():
             break
@@ -53,7 +63,7 @@ def identities(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block:
         seed += 1
     slim = cut(whole.select(F.monotonically_increasing_id().alias("uid"), "id", F.sha2("t", 256).alias("text_sha256"), F.transform(blocks(F.col("t"), block), key).alias("keys")), "slim")
     most = slim.agg(F.max(F.size("keys"))).first()[0] or 0
-    now = slim.select("uid", F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "key")).join(named, "key").select("uid", "n", "pos", "name")
+    now = slim.select("uid", F.size("keys").alias("n"), F.posexplode("keys").alias("pos", "key")).join(named, "key", "left").select("uid", "n", "pos", _must("name").alias("name"))
     tables, done, level = [slim, named], [], 0
     while True:
         done.append(now.filter("n = 1").select("uid", F.lit(level).alias("level"), "name"))
@@ -63,7 +73,7 @@ def identities(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block:
         pairs = pairs.agg(F.max(F.expr("IF(pos % 2 = 0, name, NULL)")).alias("a"), F.max(F.expr("IF(pos % 2 = 1, name, NULL)")).alias("b"))
         pairs = cut(pairs.select("uid", F.expr("CAST((n + 1) DIV 2 AS INT)").alias("n"), "pos", "a", F.coalesce("b", F.lit(-1)).alias("b")), "pairs")
         named = _named(pairs, ["a", "b"], ["a", "b"])
-        now = pairs.join(named, ["a", "b"]).select("uid", "n", "pos", "name")
+        now = pairs.join(named, ["a", "b"], "left").select("uid", "n", "pos", _must("name").alias("name"))
         tables += [pairs, named]
         most, level = (most + 1) // 2, level + 1
     found = done[0]

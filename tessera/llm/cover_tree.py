@@ -41,7 +41,8 @@ class Tree:
         n = len(x)
         self.x = x
         radius, centres, of = 2.0, np.zeros(1, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        away = self._away(x, x[0])
+        inner = x @ x.T  # once: the tree asks for distances from most of its rows
+        away = self._away(inner[:, 0])
         self.levels = [(centres, np.array([away.max()]), np.zeros(1, dtype=np.int64), of)]
         while radius > least and len(centres) < n:
             radius /= 2
@@ -49,7 +50,7 @@ class Tree:
             for node, c in enumerate(centres.tolist()):
                 rest, centre = np.nonzero(of == node)[0], c
                 while len(rest):
-                    d = self._away(x[rest], x[centre])
+                    d = self._away(inner[rest, centre])
                     own = d <= radius
                     own[rest == centre] = True
                     new_of[rest[own]] = len(new_c)
@@ -62,8 +63,8 @@ class Tree:
             self.levels.append((centres, np.array(new_r), np.array(new_p), of))
 
     @staticmethod
-    def _away(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, 2 - 2 * (rows @ centre)))
+    def _away(inner: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, 2 - 2 * inner))
 
 
 def near_pairs(a: Tree, b: Tree, raw_a: np.ndarray, raw_b: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -156,6 +157,7 @@ def near_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
         some = (links > 0) | (root != nid)
         return pa.table({"nid": nid[some], "links": links[some], "root": root[some]}, schema=pa.schema([("nid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())]))
 
+    dealt = dealt.repartition("label", "dim", "a", "b")  # else a label's pairs of chunks would stay where the label is
     found = cut(dealt.groupBy("label", "dim", "a", "b").applyInArrow(run, "nid long, links long, root long"), "found")
     roots = components(found.select(F.col("nid").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("nid").agg(F.sum("links").alias("links"))

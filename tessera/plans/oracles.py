@@ -149,7 +149,20 @@ METRICS = """tp, fp, fn, tn, round((tp + tn)::double / nullif(tp + tn + fp + fn,
   round(tp::double / nullif(tp + fn, 0), 6) AS recall, round((2 * tp)::double / nullif(2 * tp + fp + fn, 0), 6) AS f1"""
 CONFUSION = "count(*) FILTER (g AND f) AS tp, count(*) FILTER (NOT g AND f) AS fp, count(*) FILTER (g AND NOT f) AS fn, count(*) FILTER (NOT g AND NOT f) AS tn"
 
+RAG = f"""WITH c AS (WITH {CHUNKS} SELECT * FROM c),
+qs AS (SELECT conv_id * 1000 + turn AS query_id, text FROM conversations WHERE role = 'user' AND conv_id % 20 = 0),
+qe AS (SELECT query_id, {encoded('text')} AS v FROM qs WHERE length({strip("coalesce(text, '')")}) > 0),
+ce AS (SELECT doc_id::bigint * 16777216 + sent_id AS key, doc_id || '#' || sent_id AS ev, text, {encoded('text')} AS v FROM c),
+sc AS (SELECT query_id, key, ev, text, round(CASE WHEN list_sum(qe.v) = 0 OR list_sum(ce.v) = 0 THEN 0.0
+         ELSE list_dot_product(qe.v, ce.v) / (sqrt(list_dot_product(qe.v, qe.v)) * sqrt(list_dot_product(ce.v, ce.v))) END, 9) AS s FROM qe, ce),
+h AS (SELECT query_id, ev, text, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS rank FROM sc QUALIFY rank <= 5),
+e AS (SELECT query_id AS answer_id, string_agg(ev, ',' ORDER BY rank) AS ids, max(ev) FILTER (rank = 1) AS top, max(text) FILTER (rank = 1) AS draft FROM h GROUP BY 1),
+src AS (SELECT query_id AS answer_id, coalesce(draft, 'No evidence found.') AS text FROM qs LEFT JOIN e ON e.answer_id = qs.query_id),
+{_claims('src')}
+SELECT sha256(answer_id || '#' || ordinal) AS claim_id, answer_id, ordinal, claim_text, coalesce(ids, '') AS evidence_candidates, coalesce(top, '') AS top_evidence FROM cl LEFT JOIN e USING (answer_id)"""
+
 ORACLES = {
+    "rag_pipeline": RAG,
     "retrieve_top5": TOP5,
     "retrieve_single": _top("vec_id = 0", 10),
     "retrieve_exclude_self": _top("vec_id % 20 = 0", 5, "WHERE q.query_id <> e.vec_id"),

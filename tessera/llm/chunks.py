@@ -40,7 +40,7 @@ def segments(text: str, size: int = SEGMENT) -> Iterator[tuple[str, bool]]:
 class ChunkEncoder:
     """encode_words: for a list of distinct words, the little-endian ids of each."""
 
-    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], pattern: str, limit: int = 600_000):
+    def __init__(self, encode_words: Callable[[list[str]], list[bytes]], pattern: str, limit: int = 350_000):
         self.encode_words, self.limit = encode_words, limit
         self.find = regex.compile(explicit_space(pattern)).findall
         self.chunks: dict[str, bytes] = {}

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import io
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,17 +64,34 @@ def remember(operator: str, cache) -> None:
 
 def claim(operator: str) -> None:
     """Empties what other operators left in this worker: a reused worker holds one operator's memory at a time."""
-    for name, own in _caches.items():
-        if name != operator:
-            for cache in own:
-                cache.clear()
+    held = [cache for name, own in _caches.items() if name != operator for cache in own if len(cache)]
+    for cache in held:
+        cache.clear()
+    if held:
+        gc.collect()
+    release()
+
+
+def release() -> None:
+    """Gives memory that is free in this worker back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Rows of an Arrow batch where the session has Spark's own default: a batch of texts then takes a few megabytes.
+BATCH_ROWS = 1000
 
 
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once per application, wherever the driver imported it from."""
+    """Sends this package to the executors once per application, wherever the driver imported it from, and bounds
+    the rows of an Arrow batch where the session does not."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     sc: SparkContext = spark.sparkContext
     if sc.applicationId in _shipped:
         return

@@ -69,7 +69,7 @@ def coder(content: bytes, pattern: str) -> ChunkEncoder:
                 out += [array.array("I", e.ids).tobytes() for e in found]
             return out
 
-        _coders[key] = ChunkEncoder(words, pattern)
+        _coders[key] = ChunkEncoder(words, pattern, limit=600_000)
     return _coders[key]
 
 

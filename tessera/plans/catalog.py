@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_markup, tokens
-from tessera.functions.vectors import dot, entropy, hash_encode, norm, normalised, softmax
+from tessera.functions.vectors import entropy, hash_encode, norm, normalised, softmax
 from tessera.operators import evidence, lexical, ordinals, retrieval, sentences, verify
 from tessera.plans.rag import Pipeline
 from tessera.sources import articles
@@ -213,12 +213,9 @@ def bm25_top5(spark, sf):
 
 
 def hybrid_top5(spark, sf):
-    items, docs, hits = _lexical(spark, sf, 20)
-    q = items.select(F.col("item_id").alias("query_id"), hash_encode("text").alias("qv"))
-    both = hits.join(docs, "doc_id").join(q, "query_id").withColumn("dense", F.round(dot("qv", hash_encode("text")), 6))
-    both = both.select("query_id", "doc_id", "dense", F.col("score").alias("bm25"), F.round(lexical.hybrid(F.col("dense"), F.col("score")), 6).alias("hybrid"))
-    order = F.expr("row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, doc_id)")
-    return _longs(both.withColumn("rank", order).filter("rank <= 5"), "rank")
+    items = _t(spark, sf, "benchmark").filter(F.col("item_id") % EVERY == 0)
+    docs = _t(spark, sf, "documents").select("doc_id", "text")
+    return _longs(lexical.hybrid_top_k(items, docs, "item_id", "doc_id", k=K), "rank")
 
 
 def retrieval_metadata(spark, sf):

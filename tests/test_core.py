@@ -228,6 +228,25 @@ def test_lexical(spark):
     assert abs(rows[0].score - round(idf(2) * tf(1, 2) + idf(1) * tf(1, 2), 6)) < 1e-6 or rows[0].doc_id == 2
 
 
+def test_hybrid_ranks_all_documents(spark):
+    """A document of the query's main word has 30 documents before it in BM25; one query shares no token with any."""
+    rng = np.random.default_rng(4)
+    texts = [(i, " ".join(["red", "fox", *rng.choice(["w1", "w2", "w3", "w4"], int(rng.integers(6, 12)))])) for i in range(30)]
+    texts += [(40, "red"), (41, None), (42, "..."), (43, "blue " * 40), (44, "blue")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    q = spark.createDataFrame([(7, "Red red red red fox"), (8, "zebra"), (9, "")], "item_id long, text string")
+    sums = lexical.bm25(q, docs, "item_id", "doc_id", k=1000).select("query_id", "doc_id", F.col("score").alias("bm25"), F.col("rank").alias("lexical"))
+    pairs = q.select(F.col("item_id").alias("query_id"), hash_encode("text").alias("qv")).crossJoin(docs.select("doc_id", hash_encode("text").alias("dv"))).join(sums, ["query_id", "doc_id"], "left")
+    pairs = pairs.select("query_id", "doc_id", F.round(dot("qv", "dv"), 6).alias("dense"), F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce("lexical", F.lit(99)).alias("lexical"))
+    every = pairs.withColumn("hybrid", F.round(lexical.hybrid(F.col("dense"), F.col("bm25")), 6)).collect()
+    want = [r for k in (7, 8, 9) for r in sorted((r for r in every if r.query_id == k), key=lambda r: (-r.hybrid, r.doc_id))[:5]]
+    assert max(r.lexical for r in want if r.query_id == 7) > 20
+    for rows in (lexical.BLOCK, 8):
+        got = lexical.hybrid_top_k(q, docs, "item_id", "doc_id", rows=rows).orderBy("query_id", "rank").collect()
+        assert [(r.query_id, r.doc_id, r.dense, r.bm25, r.hybrid) for r in got] == [(r.query_id, r.doc_id, r.dense, r.bm25, r.hybrid) for r in want]
+        assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] * 3
+
+
 def test_prompt_and_pairs(spark):
     q = spark.createDataFrame([(1, "Q?", ["a", "b"]), (2, "R?", []), (3, "S?", None)], "query_id long, q string, texts array<string>")
     got = [r.p for r in q.orderBy("query_id").select(evidence.prompt("q", "texts").alias("p")).collect()]

@@ -1,12 +1,13 @@
 """Main text of web pages: site templates by counted subtree hashes, then the article's blocks.
 
 Each page is read into a tree by a forgiving reader (implied end tags, unclosed and cut-off markup, raw
-text elements). Every container element's subtree gets a hash of its tags, classes and text; Spark counts
-on how many different pages of a host each hash occurs, and subtrees that recur on at least MIN_PAGES pages
-and MIN_SHARE of the host's pages are deleted. Equal pages count once, so copies of a page do not make its
-article a template, and an article's own headings, paragraphs and lists are not containers, so a
-passage that many articles share stays. Then elements that are no article text by their tag, role or
-class go, and the text of main, else of the articles, else of the body is taken block by block.
+text elements). Every container element outside the article gets a hash of its tags, classes and text; Spark counts
+with how many different article texts of a host each hash occurs, and subtrees that recur with at least MIN_PAGES
+and MIN_SHARE of the host's are deleted. Pages of equal article text count once, so copies of a page, and
+copies in another frame, do not make its text a template. The article is what lies below main, article or
+the element that holds the first h1, and all that follows that heading: no subtree goes there for its hash, so
+a body, list or table that many articles share stays. Then elements that are no article text by their tag, role
+or class go, and the text of main, else of the articles, else of the body is taken block by block.
 
 The counts are aggregated before they are shuffled, by host and hash together, so that a host with a third
 of all pages is as many keys as it has subtrees. Pages travel only if they hold a template.
@@ -70,7 +71,7 @@ WORDS = frozenset(
     "subscription signup sidebar aside nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar social share sharing related recommended recommendations comment comments reply "
     "replies respond disqus discussion widget toolbar pagination pager login paywall skip".split()
 )
-#: Containers: what a site repeats is one of these, what an article repeats is not.
+#: Containers: what a site repeats is one of these; inside the article they stay.
 CONTAINERS = frozenset("div section aside nav footer header form table ul ol dl menu figure details center".split())
 
 _TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
@@ -203,16 +204,37 @@ def _mark(nodes: list[Node]) -> None:
         node.hash = xxhash.xxh64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def containers(page: str) -> list[int]:
-    """Hashes of the containers with text that hold no main, article or first heading."""
+def _own(nodes: list[Node]) -> set[int]:
+    """The elements of the article: below main, article or the element that holds the first h1 with text, and after it."""
+    first = next((i for i, n in enumerate(nodes) if n.tag == "h1" and n.worded), len(nodes))
+    holder = nodes[first].parent if first < len(nodes) else None
+    if holder is not None and holder.tag in ("", "html", "body"):
+        holder = None  # what stands before the heading is not yet the article
+    own: set[int] = set()
+    for i, n in enumerate(nodes):
+        if i > first or n is holder or n.tag in ("main", "article") or " main" in n.marks or id(n.parent) in own:
+            own.add(id(n))
+    return own
+
+
+def read(page: str) -> list[Node]:
     nodes = parse(page)
     _mark(nodes)
-    return sorted({n.hash for n in nodes if n.tag in CONTAINERS and not n.inside and n.worded})
+    return nodes
+
+
+def containers(nodes: list[Node]) -> list[int]:
+    """Hashes of the containers with text outside the article that hold no main, article or first heading."""
+    own = _own(nodes)
+    return sorted({n.hash for n in nodes if n.tag in CONTAINERS and not n.inside and n.worded and id(n) not in own})
 
 
 def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) -> str:
-    nodes = parse(page)
-    _mark(nodes)
+    return text_of(read(page), templates)
+
+
+def text_of(nodes: list[Node], templates: frozenset[int] | set[int] = frozenset()) -> str:
+    kept = _own(nodes) if templates else set()
     gone: set[int] = set()
     in_article: set[int] = set()
     main, articles = [], []
@@ -225,7 +247,7 @@ def main_text(page: str, templates: frozenset[int] | set[int] = frozenset()) ->
             or n.tag in NOT_TEXT
             or (n.away and not n.inside and n.tag not in ("main", "body", "html"))
             or (n.tag == "header" and p not in in_article)
-            or (n.tag in CONTAINERS and not n.inside and n.hash in templates)
+            or (n.tag in CONTAINERS and not n.inside and n.hash in templates and id(n) not in kept)
         ):
             gone.add(id(n))
         elif n.tag == "main" or " main" in n.marks:
@@ -279,13 +301,20 @@ def extract(df: DataFrame, page: str = "html", url: str = "url", text: str = "te
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            found = [containers(p) if p else [] for p in batch.column("_page").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("_host", "_one", "_two")), pa.array(found, pa.list_(pa.int64()))], names=["_host", "_one", "_two", "subs"])
-
-    seen = own.select("_host", "_one", "_two", F.col(page).alias("_page")).mapInArrow(count, "_host string, _one long, _two long, subs array<long>")
-    seen = cut(seen.select("_host", "_one", "_two", F.explode_outer("subs").alias("sub")).groupBy("_host", "_one", "_two", "sub").agg(F.lit(1).alias("_n")).drop("_n"), "subtrees")
-    pages = seen.groupBy("_host", "_one", "_two").agg(F.lit(1).alias("_n")).groupBy("_host").agg(F.count("*").alias("pages"))
-    often = seen.filter("sub IS NOT NULL").groupBy("_host", "sub").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+            found, articles = [], []
+            for p in batch.column("_page").to_pylist():
+                nodes = read(p) if p else []
+                found.append(containers(nodes))
+                articles.append(xxhash.xxh3_128_digest(text_of(nodes).encode("utf-8", "surrogatepass") if nodes else b""))
+            columns = [*(batch.column(n) for n in ("_host", "_one", "_two")), pa.array(articles, pa.binary()), pa.array(found, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_host", "_one", "_two", "article", "subs"])
+
+    seen = own.select("_host", "_one", "_two", F.col(page).alias("_page")).mapInArrow(count, "_host string, _one long, _two long, article binary, subs array<long>")
+    seen = seen.select("_host", "_one", "_two", "article", F.explode_outer("subs").alias("sub")).groupBy("_host", "_one", "_two", "article", "sub").agg(F.lit(1).alias("_n"))
+    seen = cut(seen.drop("_n"), "subtrees")
+    pages = seen.groupBy("_host", "article").agg(F.lit(1).alias("_n")).groupBy("_host").agg(F.count("*").alias("pages"))
+    often = seen.filter("sub IS NOT NULL").groupBy("_host", "sub", "article").agg(F.lit(1).alias("_n"))
+    often = often.groupBy("_host", "sub").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     often = cut(often.join(pages, "_host").filter(F.col("n") >= F.col("pages") * min_share).select("_host", "sub"), "often")
     if often.isEmpty():
         joined = own.withColumn("_subs", F.lit(None).cast("array<long>"))

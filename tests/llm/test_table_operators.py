@@ -92,6 +92,22 @@ def test_templates_go_and_shared_passages_stay(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_near_copies_keep_their_body(spark):
+    """The same body, list and table on many pages of a host that differ in menu, title or date."""
+    body, shared = "<div><p>One long body</p><p>that all copies carry</p></div>", "<ul><li>a</ul><table><tr><td>c</table>"
+    frames = {
+        "a": "<body><div class=x><p>Club</p></div><h1>Title {i}</h1>" + body + shared + "</body>",
+        "b": "<body><div class=top><h1>Title</h1><span>day {i}</span></div>" + body + shared + "</body>",
+        "c": "<body><div><p>menu {i}</p></div><article><h1>T</h1><p>{i}</p>" + body + shared + "</article></body>",
+        "d": "<head><title>{i}</title></head><body><nav>{i}</nav>" + body + shared + "</body>",
+    }
+    text = "One long body\nthat all copies carry\na\nc"
+    want = {"a": "Title {i}\n" + text, "b": "Title\nday {i}\n" + text, "c": "T\n{i}\n" + text, "d": text}
+    rows = [(h, i, f"https://{h}.example/{i}", f.replace("{i}", str(i))) for h, f in frames.items() for i in range(20)]
+    for r in html_text.extract(spark.createDataFrame(rows, "h string, i long, url string, html string")).collect():
+        assert r.text == want[r.h].replace("{i}", str(r.i))
+
+
 URLS = {
     "https://WWW.Example.com/en/x?q": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
     "http://a.example.com/en/": ("a.example.com", "/en/", "example.com/en/", "block"),

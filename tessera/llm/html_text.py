@@ -2,8 +2,8 @@
 
 Each page is read into a tree by a forgiving reader (implied end tags, unclosed and cut-off markup, raw
 text elements). Every container element outside the article gets a hash of its tags, classes and text; Spark counts
-with how many different article texts of a host each hash occurs, and subtrees that recur with at least MIN_PAGES
-and MIN_SHARE of the host's are deleted. Pages of equal article text count once, so copies of a page, and
+with how many different article texts of a host each hash occurs, and subtrees that recur with ENOUGH of them, or
+with MIN_PAGES that are MIN_SHARE of the host's, are deleted. Pages of equal article text count once, so copies of a page, and
 copies in another frame, do not make its text a template. The article is what lies below main, article or
 the element that holds the first h1, and all that follows that heading: no subtree goes there for its hash, so
 a body, list or table that many articles share stays. Then elements that are no article text by their tag, role
@@ -34,6 +34,8 @@ from tessera.llm.url_filter import host_of
 
 MIN_PAGES = 8
 MIN_SHARE = 0.1
+#: So many make a template on a host of any size.
+ENOUGH = 40
 #: Pages with a template that are joined by broadcast (about 100 bytes each); more by a shuffle.
 BROADCAST_PAGES = 200_000
 
@@ -291,7 +293,7 @@ def text_of(nodes: list[Node], templates: frozenset[int] | set[int] = frozenset(
     return "\n".join(blocks)
 
 
-def extract(df: DataFrame, page: str = "html", url: str = "url", text: str = "text", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(df: DataFrame, page: str = "html", url: str = "url", text: str = "text", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, enough: int = ENOUGH) -> DataFrame:
     """df with the main text of each page."""
     ship(df.sparkSession)
     keep = [f for f in df.schema.fields if f.name != text]
@@ -315,7 +317,7 @@ def extract(df: DataFrame, page: str = "html", url: str = "url", text: str = "te
     pages = seen.groupBy("_host", "article").agg(F.lit(1).alias("_n")).groupBy("_host").agg(F.count("*").alias("pages"))
     often = seen.filter("sub IS NOT NULL").groupBy("_host", "sub", "article").agg(F.lit(1).alias("_n"))
     often = often.groupBy("_host", "sub").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    often = cut(often.join(pages, "_host").filter(F.col("n") >= F.col("pages") * min_share).select("_host", "sub"), "often")
+    often = cut(often.join(pages, "_host").filter((F.col("n") >= F.col("pages") * min_share) | (F.col("n") >= enough)).select("_host", "sub"), "often")
     if often.isEmpty():
         joined = own.withColumn("_subs", F.lit(None).cast("array<long>"))
     else:

@@ -108,6 +108,14 @@ def test_near_copies_keep_their_body(spark):
         assert r.text == want[r.h].replace("{i}", str(r.i))
 
 
+def test_templates_go_on_large_hosts_too(spark):
+    """A notice on 45 of 600 pages of a host is a template; one on 9 of them is not."""
+    notice = lambda i: "<div><p>Notice</p></div>" if i < 45 else "<div><p>Rare</p></div>" if i < 54 else ""
+    rows = [(i, "https://a.example/", f"<body>{notice(i)}<div><p>Text {i}</p></div></body>") for i in range(600)]
+    got = {r.i: r.text for r in html_text.extract(spark.createDataFrame(rows, "i long, url string, html string")).collect()}
+    assert got == {i: f"Rare\nText {i}" if 45 <= i < 54 else f"Text {i}" for i in range(600)}
+
+
 URLS = {
     "https://WWW.Example.com/en/x?q": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
     "http://a.example.com/en/": ("a.example.com", "/en/", "example.com/en/", "block"),

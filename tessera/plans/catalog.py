@@ -61,21 +61,23 @@ def batch_report(spark, sf):
     return out.select("query_id", F.coalesce("hits", F.lit(0)).cast("long").alias("num_hits"), F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("avg_score"))
 
 
-def _index(rows: DataFrame) -> tuple[retrieval.InvertedFile, int]:
-    lists = retrieval.adapted("IVFFLAT", rows.count())[1]
-    return retrieval.InvertedFile.build(rows, max(2, lists)), max(2, lists)
+def _index(rows: DataFrame) -> tuple[retrieval.InvertedFile, int, int]:
+    """The index, its lists and how many of them a search probes: all where the table is worth a flat one."""
+    kind, lists = retrieval.adapted("IVFFLAT", rows.count())
+    lists = max(2, lists)
+    return retrieval.InvertedFile.build(rows, lists), lists, lists if kind == "FLAT" else max(1, lists * 3 // 4)
 
 
 def ivf_full_probe_equals_flat(spark, sf):
     queries, rows = _asked(spark, sf)
-    index, lists = _index(rows)
+    index, lists, _ = _index(rows)
     return _hits(index.search(queries, K, probes=lists))
 
 
 def ivf_search(spark, sf):
     queries, rows = _asked(spark, sf)
-    index, lists = _index(rows)
-    return _hits(index.search(queries, K, probes=max(1, lists * 3 // 4)))
+    index, _, probes = _index(rows)
+    return _hits(index.search(queries, K, probes=probes))
 
 
 def lsh_search(spark, sf):
@@ -86,8 +88,8 @@ def lsh_search(spark, sf):
 def recall_at_k(spark, sf):
     queries, rows = _asked(spark, sf)
     exact = retrieval.top_k(queries, rows, K)
-    index, lists = _index(rows)
-    kinds = {"ivf": index.search(queries, K, probes=max(1, lists * 3 // 4)), "lsh": retrieval.HyperplaneIndex(rows, 64).search(queries, K)}
+    index, _, probes = _index(rows)
+    kinds = {"ivf": index.search(queries, K, probes=probes), "lsh": retrieval.HyperplaneIndex(rows, 64).search(queries, K)}
     out = [retrieval.recall(found, exact).withColumn("index_kind", F.lit(name)) for name, found in kinds.items()]
     return out[0].unionByName(out[1])
 

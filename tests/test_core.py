@@ -15,6 +15,7 @@ from tessera import schemas
 from tessera.functions.text import LOSSLESS_TILE, RULE_LAST, RULE_SENTENCE, RULE_TILE, clean_markup, strip
 from tessera.functions.vectors import dot, entropy, hash_encode, norm, softmax
 from tessera.operators import evidence, lexical, ordinals, plugins, retrieval, sentences, verify
+from tessera.plans import catalog
 from tessera.plans.rag import Pipeline
 from tessera.sources import articles, sinks
 from tessera.sources.config import Config, generation_parameters
@@ -210,6 +211,14 @@ def test_index_choice_and_dimension(vectors):
         retrieval.check_dimension(vectors[1], 3).collect()
 
 
+def test_small_tables_are_searched_whole(spark, tmp_path):
+    x = np.random.default_rng(6).standard_normal((60, 64))
+    rows = [(i, [float(a) for a in v / np.linalg.norm(v)]) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(catalog.ivf_search(spark, str(tmp_path)).collect()) == sorted(catalog.retrieve_top5(spark, str(tmp_path)).collect())
+    assert [r.recall for r in catalog.recall_at_k(spark, str(tmp_path)).filter("index_kind = 'ivf'").collect()] == [1.0]
+
+
 def test_vector_functions(spark):
     df = spark.createDataFrame([([3.0, 4.0], [1.0, 2.0], "the cat the")], "a array<float>, b array<float>, t string")
     r = df.select(dot("a", "b").alias("d"), norm("a").alias("n"), softmax("b").alias("p"), entropy(softmax("b")).alias("e"), hash_encode("t").alias("h"), norm(hash_encode(F.lit("..."))).alias("z")).first()

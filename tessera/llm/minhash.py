@@ -172,8 +172,8 @@ def _runs(texts: list[bytes], size: int = _BYTES) -> Iterator[list[bytes]]:
         yield own
 
 
-def sketch(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id, n_shingles, class (128-bit hash of the whole set, null without shingles), bands."""
+def sketch(df: DataFrame, doc_id: str, text: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """id, n_shingles, class (128-bit hash of the whole set, null without shingles), bands, and more binary columns."""
     ship(df.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,12 +188,13 @@ def sketch(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                 for k, i in enumerate(full):
                     keys[i], own[i] = xxhash.xxh3_128_digest(sets[i].tobytes()), found[k]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.int64()))],
-                    names=["id", "n_shingles", "class", "bands"],
+                    [batch.column(0).slice(at, len(texts)), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.int64())), *(batch.column(c).slice(at, len(texts)) for c in more)],
+                    names=["id", "n_shingles", "class", "bands", *more],
                 )
                 at += len(texts)
 
-    return df.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "id long, n_shingles long, class binary, bands array<long>")
+    schema = ", ".join(["id long, n_shingles long, class binary, bands array<long>", *(f"{c} binary" for c in more)])
+    return df.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).cast("binary").alias("t"), *more).mapInArrow(run, schema)
 
 
 def full_sets(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -220,9 +221,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.expr(f"100 * both >= {percent} * (nu + nv - both)")).select(*pairs.columns)
 
 
-def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row."""
-    rows = cut(sketch(df, doc_id, text), "sketch")
+def _grouped(df: DataFrame, doc_id: str, text: str, percent: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """id, n_shingles, class, root (of the component; null without shingles), component_id (its least id) and more for each row."""
+    rows = cut(sketch(df, doc_id, text, more), "sketch")
     classes = rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("id").alias("head"), F.max("n_shingles").alias("n"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     own = rows.select("class", F.col("id").alias("head"), "bands").join(classes.select("class", F.col("head").alias("first"), "node"), "class").filter("head <=> first")
@@ -232,7 +233,7 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
     wanted = members.groupBy("node").agg(F.lit(1).alias("_one")).select("node")
     wanted = cut(wanted.join(classes, "node"), "wanted")
     n_wanted = wanted.count()
-    found = classes.select("class", F.col("head").alias("component_id"))
+    found = classes.select("class", F.col("node").alias("root"), F.col("head").alias("component_id"))
     if n_wanted:
         heads = wanted.select(F.coalesce("head", F.lit(_NO_ID)).alias("_head")).distinct()
         fetched = df.withColumn("_head", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NO_ID)))
@@ -243,12 +244,18 @@ def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", perce
             drop(old)
         roots = _link(members, wanted.select("node", "n", F.col("node").alias("root")), sets, percent)
         least = cut(roots.join(classes.select("node", "head"), "node").groupBy("root").agg(F.min("head").alias("component_id")), "least")
-        of = roots.join(least, "root").select("node", "component_id")
-        found = classes.select("class", "node", "head").join(of, "node", "left").select("class", F.coalesce("component_id", "head").alias("component_id"))
+        of = roots.join(least, "root").select("node", "root", "component_id")
+        found = classes.select("class", "node", "head").join(of, "node", "left")
+        found = found.select("class", F.coalesce("root", "node").alias("root"), F.coalesce("component_id", "head").alias("component_id"))
         found = cut(found, "found")
         drop(wanted, sets, roots, least, classes)
     drop(members)
-    out = rows.select("id", "n_shingles", "class").join(found, "class", "left")
+    return rows.select("id", "n_shingles", "class", *more).join(found, "class", "left")
+
+
+def near_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row."""
+    out = _grouped(df, doc_id, text, percent)
     component = F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(doc_id), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
@@ -353,9 +360,12 @@ def _link(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row of each group stays, with all its columns: that of the smallest id. Rows that repeat both id
-    and text count once; texts without an id are told apart by their content."""
-    groups = near_groups(df, doc_id, text, percent)
-    stay = groups.filter("kept").select(F.col(doc_id).alias("_id")).distinct()
-    own = df.withColumn("_sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    return own.join(stay, F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([doc_id, "_sha"]).drop("_sha")
+    """One row of each group stays, with all its columns: that of the smallest id, and of the smallest hash of its text
+    where the id is repeated or missing. Rows without shingles are no group: of them only repeats of id and text go."""
+    own = df.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    alone = F.when(F.col("class").isNull(), F.struct("id", "_sha"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_sha"))
+    stay = _grouped(own, doc_id, text, percent, ("_sha",)).groupBy("root", alone.alias("alone")).agg(first.alias("x"))
+    stay = stay.select(F.col("x.id").alias("_id"), F.col("x._sha").alias("_kept"))
+    both = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept"))
+    return own.join(stay, both, "left_semi").dropDuplicates([doc_id, "_sha"]).drop("_sha")

@@ -92,6 +92,16 @@ def test_near_groups_equal_brute_force(docs, none):
     assert out.columns == docs.columns
 
 
+def test_near_dedup_with_repeated_and_missing_ids(spark):
+    """An id that stays for one text does not bring back its other texts; near copies without an id leave one."""
+    rng = np.random.default_rng(8)
+    a, b, c = (" ".join(rng.choice([f"t{i}" for i in range(400)], 80)) for _ in range(3))
+    rows = [(1, a), (2, a + " more"), (2, b), (2, b), (None, c), (None, c + " more"), (None, b + " more"), (None, ""), (3, None), (3, "")]
+    got = [(r.doc_id, r.text) for r in minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(repr((i, t)) for i, t in got if t) in ([repr((1, a)), repr((2, b)), repr((None, x))] for x in (c, c + " more"))
+    assert sorted(repr(i) for i, t in got if not t) == ["3", "None"]
+
+
 def test_near_chains_and_large_groups(spark):
     """Chains of edits, whose ends are far apart, and a dense group that shares a passage but no links."""
     rng = np.random.default_rng(5)

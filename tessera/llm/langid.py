@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -175,7 +175,8 @@ def _calibrate(model: Model, rows: list[tuple[str, str]], at: dict[str, int]) ->
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
-    """Two passes: languages are counted over all rows, then a hash of the key chooses the sample."""
+    """Two passes: languages are counted over all rows, then a hash of key and text chooses the sample: of each language
+    the rows of the smallest hashes among about twice as many as are wanted, repeated rows once."""
     known = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count("*")).collect()}
     if len(counts) > MAX_LANGUAGES:
@@ -183,12 +184,13 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     if not counts:
         return train([])
     share = max(1, rows // len(counts))
-    choose = F.lit(False)
+    choose, whole = F.lit(False), 1 << 40
+    known = known.select(text, lang, F.col(key).cast("string").alias("k"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_h"))
     for name, n in sorted(counts.items()):
-        part = min(1_000_000, max(1, 1_000_000 * share // n))
-        chosen = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1_000_000)) < part if n > share else F.lit(True)
+        chosen = F.pmod("_h", F.lit(whole)) < max(1, whole * 2 * share // n) if n > 2 * share else F.lit(True)
         choose = choose | ((F.col(lang) == name) & chosen)
-    found = known.filter(choose).select(text, lang, F.col(key).cast("string").alias("k")).collect()
+    order = Window.partitionBy(lang).orderBy("_h")
+    found = known.filter(choose).dropDuplicates([lang, "_h"]).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= share).collect()
     return train([(r[0], r[1]) for r in sorted(found, key=lambda r: (r[2] or "", r[1], r[0]))])
 
 

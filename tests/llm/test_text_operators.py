@@ -248,3 +248,13 @@ def test_language_held_out_accuracy_and_rejection(spark, none):
     assert all(0 <= r.score <= 1 for r in got.values())
     assert langid.predict(none, langid.fit(none)).count() == 0
     assert langid.predict(df, langid.train([])).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """Rows without an id, and repeated rows, take no more of the sample than others; every language has its share."""
+    rows = [(None if i % 2 else i, f"text {i} of {lang}", lang) for i in range(1000) for lang in WORDS] + [(None, "again", "en")] * 500
+    seen = []
+    monkeypatch.setattr(langid, "train", seen.extend)
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=90)
+    assert {lang: sum(x[1] == lang for x in seen) for lang in WORDS} == dict.fromkeys(WORDS, 30)
+    assert len(set(seen)) == 90 and 20 < sum(int(t.split()[1]) % 2 for t, _ in seen if t != "again") < 70

@@ -18,6 +18,7 @@ import array
 import hashlib
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -48,11 +49,26 @@ def load(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype=dtype)
 
 
-_coders: dict[str, ChunkEncoder] = {}
+class Coder:
+    """Cuts texts at the tokenizer's added tokens, as the library does, and encodes what lies between them."""
+
+    def __init__(self, inner: ChunkEncoder, added: dict[str, int]):
+        self.inner, self.ids = inner, {t: np.array([i], dtype="<u4").tobytes() for t, i in added.items()}
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if self.cuts is None or not any(self.cuts.search(t) for t in texts):
+            return self.inner.encode(texts)
+        pieces = [self.cuts.split(t) for t in texts]
+        found = iter(self.inner.encode([x for p in pieces for x in p[::2]]))
+        return [b"".join(self.ids[x] if k % 2 else next(found) for k, x in enumerate(p)) for p in pieces]
+
+
+_coders: dict[str, Coder] = {}
 remember("token_files", _coders)
 
 
-def coder(content: bytes, pattern: str) -> ChunkEncoder:
+def coder(content: bytes, pattern: str) -> Coder:
     """One for each tokenizer file and worker process; words are encoded by the tokenizers library."""
     key = hashlib.sha256(content + pattern.encode()).hexdigest()
     if key not in _coders:
@@ -69,7 +85,8 @@ def coder(content: bytes, pattern: str) -> ChunkEncoder:
                 out += [array.array("I", e.ids).tobytes() for e in found]
             return out
 
-        _coders[key] = ChunkEncoder(words, pattern, limit=600_000)
+        added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        _coders[key] = Coder(ChunkEncoder(words, pattern, limit=600_000), added)
     return _coders[key]
 
 

@@ -178,6 +178,16 @@ def test_token_files_read_back(spark, docs, none):
     assert token_files.read(spark, empty).count() == 0
 
 
+def test_added_tokens_equal_library():
+    from tokenizers import Tokenizer
+
+    content = open(P.path("byte_bpe_50k.json"), "rb").read()
+    plain, encoder = Tokenizer.from_str(content.decode()), token_files.coder(content, P.PATTERN)
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n\n y <|endoftext", "none", "", "<|endoftext|> 12  <|endoftext|>é😀"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 50_256 in want[0] and [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(texts)] == want
+
+
 PATTERNS = (
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),

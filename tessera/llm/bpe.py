@@ -48,7 +48,7 @@ class Ranks:
         self.pairs = pairs
         self.keys = np.fromiter(sorted(pairs), dtype=np.int64, count=len(pairs))
         self.ranks = np.array([pairs[k] for k in self.keys.tolist()] or [0], dtype=np.int32)
-        self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
+        self.table = pa.array(self.tokens, pa.large_binary())
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, _NONE where the two are no token together."""
@@ -59,9 +59,18 @@ class Ranks:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.ranks[at], _NONE)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids.tolist()])
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """The bytes of each of several texts, given their ids one after the other and how many each has."""
+        flat = self.table.take(pa.array(ids))
+        bounds = flat.buffers()[1]
+        bytes_at = np.frombuffer(bounds, dtype=np.int64)[: len(ids) + 1]
+        return joined(flat.buffers()[2], bytes_at[np.concatenate(([0], np.cumsum(counts)))])
+
+
+def joined(data: pa.Buffer | None, ends: np.ndarray) -> pa.Array:
+    """A binary array whose values lie one after the other in data, between the places of ends. Its offsets have 32 bits,
+    as Spark reads them, so a run of texts must stay below 2 gigabytes."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), data or pa.py_buffer(b"")])
 
 
 def merge_rows(ranks: Ranks, words: list[bytes], width: int) -> list[bytes]:
@@ -214,11 +223,11 @@ def encode_decode(df: DataFrame, rank_path: str, pattern: str, text: str = "text
         for batch in it:
             at = 0
             for texts in batches([t or "" for t in batch.column(text).to_pylist()]):
-                out = encoder.encode(texts)
-                back = [ranks.decode(np.frombuffer(x, dtype="<u4")) for x in out]
+                found, counts = encoder.encode(texts)
+                bounds = 4 * np.concatenate(([0], np.cumsum(counts)))
                 rows = batch.slice(at, len(texts))
                 at += len(texts)
-                columns = [rows.column(n) for n in names] + [pa.array(out, pa.binary()), pa.array(back, pa.binary())]
+                columns = [rows.column(n) for n in names] + [joined(pa.py_buffer(found.tobytes()), bounds), ranks.decode(found, counts)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, ids, decoded])
 
     return df.mapInArrow(run, schema)

@@ -5,11 +5,13 @@ three flat files: ``.tok`` (ids, 16 bits wide where the vocabulary allows, else
 token offsets of its documents, one more than it has) and ``.doc`` (64-bit document ids). Offsets
 inside a part start at 0; the manifest holds each part's base, the prefix sum of the token counts
 before it. A task writes under a name of its own and renames at the end, so a task that runs again
-leaves the same files. Files are read through a memory map where the folder is local to the reader.
+leaves the same files. Files are read through memory maps.
 
 Defined results: a null text counts as empty and is the end id alone; a null document id is stored as
 the smallest 64-bit integer, sorts first and is read back as null; rows with equal ids are ordered by
-their text and all stay; an empty table has no parts; further columns are not stored.
+Spark's 64-bit hash of their text, rows equal in both by their place in the table, and all stay (such rows may
+fall into several parts); texts may be of any length, one that is longer than a run is encoded alone; an empty
+table has no parts; further columns, whatever their names, are not stored.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ import hashlib
 import json
 import os
 import re
+import shutil
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,26 +46,45 @@ def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def load(fs: pafs.FileSystem, path: str, dtype: str) -> np.ndarray:
-    """A flat file as an array: mapped into memory where it is local, else read."""
+    """A flat file as a memory map; from a store that cannot be mapped it is first copied, some megabytes at a time, to a
+    scratch file without a name, which the system frees with the map."""
     if isinstance(fs, pafs.LocalFileSystem):
         return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.empty(0, dtype)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=dtype)
+    with tempfile.TemporaryFile() as scratch:
+        with fs.open_input_stream(path) as f:
+            shutil.copyfileobj(f, scratch, 8 << 20)
+        scratch.flush()
+        return np.memmap(scratch, dtype=dtype, mode="r") if scratch.tell() else np.empty(0, dtype)
 
 
 class Coder:
     """Cuts texts at the tokenizer's added tokens, as the library does, and encodes what lies between them."""
 
     def __init__(self, inner: ChunkEncoder, added: dict[str, int]):
-        self.inner, self.ids = inner, {t: np.array([i], dtype="<u4").tobytes() for t, i in added.items()}
+        self.inner, self.added = inner, added
         self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.cuts is None or not any(self.cuts.search(t) for t in texts):
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        if not any(a in t for a in self.added for t in texts):
             return self.inner.encode(texts)
         pieces = [self.cuts.split(t) for t in texts]
-        found = iter(self.inner.encode([x for p in pieces for x in p[::2]]))
-        return [b"".join(self.ids[x] if k % 2 else next(found) for k, x in enumerate(p)) for p in pieces]
+        ids, counts = self.inner.encode([x for p in pieces for x in p[::2]])
+        found = iter(np.split(ids, np.cumsum(counts)[:-1]))
+        whole = [np.concatenate([np.array([self.added[x]], dtype="<u4") if k % 2 else next(found) for k, x in enumerate(p)]) for p in pieces]
+        return np.concatenate(whole), np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))
+
+
+#: Bytes as the file's vocabulary spells them: printable characters for themselves, the others from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_OTHER = [i for i in range(256) if i not in set(_PLAIN)]
+_SPELT = {i: i for i in _PLAIN} | {b: 256 + k for k, b in enumerate(_OTHER)}
+
+
+def spelt(word: str) -> str:
+    if word[:1] == " " and word.isascii() and word[1:].isalnum():
+        return "\u0120" + word[1:]
+    return word.encode("utf-8").decode("latin-1").translate(_SPELT)
 
 
 _coders: dict[str, Coder] = {}
@@ -76,17 +99,13 @@ def coder(content: bytes, pattern: str) -> Coder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(content.decode("utf-8"))
-        tokenizer.encode_special_tokens = True
+        merge = tokenizer.model.tokenize
 
         def words(some: list[str]) -> list[bytes]:
-            out: list[bytes] = []
-            for k in range(0, len(some), 20_000):
-                found = tokenizer.encode_batch_fast(some[k : k + 20_000], add_special_tokens=False)
-                out += [array.array("I", e.ids).tobytes() for e in found]
-            return out
+            return [array.array("I", [t.id for t in merge(spelt(w))]).tobytes() for w in some]
 
         added = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        _coders[key] = Coder(ChunkEncoder(words, pattern, limit=600_000), added)
+        _coders[key] = Coder(ChunkEncoder(words, pattern), added)
     return _coders[key]
 
 
@@ -100,8 +119,6 @@ def write(df: DataFrame, out_dir: str, tokenizer_path: str, pattern: str, end_id
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
     fs, top = _fs(out_dir)
     fs.create_dir(top, recursive=True)
-    end = np.array([end_id], dtype="<u4").tobytes()
-
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("token_files")
         encoder, part, own = coder(content.value, pattern), TaskContext.get().partitionId(), uuid.uuid4().hex
@@ -114,14 +131,15 @@ def write(df: DataFrame, out_dir: str, tokenizer_path: str, pattern: str, end_id
             if files is None:
                 files = {k: fs.open_output_stream(x[0]) for k, x in names.items()}
                 files["off"].write(np.zeros(1, dtype="<u8").tobytes())
-            ids = np.array([NO_ID if i is None else i for i in batch.column(0).to_pylist()], dtype="<i8")
+            doc_ids = np.array([NO_ID if i is None else i for i in batch.column(0).to_pylist()], dtype="<i8")
             at = 0
             for texts in batches([t or "" for t in batch.column(1).to_pylist()]):
-                found = [x + end for x in encoder.encode(texts)]
-                ends = n_tokens + np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4)
-                files["tok"].write(np.frombuffer(b"".join(found), dtype="<u4").astype(dtype).tobytes())
+                ids, counts = encoder.encode(texts)
+                after = np.cumsum(counts)
+                files["tok"].write(np.insert(ids.astype(dtype), after, end_id).tobytes())
+                ends = n_tokens + after + np.arange(1, len(texts) + 1)
                 files["off"].write(ends.astype("<u8").tobytes())
-                files["doc"].write(ids[at : at + len(texts)].tobytes())
+                files["doc"].write(doc_ids[at : at + len(texts)].tobytes())
                 at, n_tokens = at + len(texts), int(ends[-1])
             n_docs += batch.num_rows
         if files is not None:
@@ -134,7 +152,8 @@ def write(df: DataFrame, out_dir: str, tokenizer_path: str, pattern: str, end_id
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_tokens], pa.int64())], names=["part", "n_docs", "n_tokens"])
 
     dealt = df.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    dealt = dealt.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    dealt = dealt.withColumns({"hash": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    dealt = dealt.repartitionByRange("id", "hash", "place").sortWithinPartitions("id", "hash", "place").select("id", "text")
     parts = sorted(tuple(r) for r in dealt.mapInArrow(run, "part long, n_docs long, n_tokens long").collect())
     bases = np.cumsum([0, *(p[2] for p in parts)]).tolist()
     docs = np.cumsum([0, *(p[1] for p in parts)]).tolist()

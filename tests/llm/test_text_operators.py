@@ -8,13 +8,16 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessera.llm import bpe, langid, minhash, naming, pii, token_files
+from tessera.llm.chunks import ChunkEncoder
 from tessera.llm.common import fresh_dir
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -139,7 +142,7 @@ ADVERSE = ["", " ", "  x", " \n b\t\tc  ", "it's don't 'll", "a" * 5000, "ab" *
 
 def encode(text):
     _, encoder = bpe.coder(open(RANKS, "rb").read(), P.PATTERN)
-    return np.frombuffer(encoder.encode([text])[0], dtype="<u4").tolist()
+    return encoder.encode([text])[0].tolist()
 
 
 @pytest.mark.parametrize("text", ADVERSE)
@@ -166,9 +169,10 @@ def test_token_files_read_back(spark, docs, none):
     out = fresh_dir(spark, "test")
     manifest = token_files.write(docs, out, P.path("byte_bpe_50k.json"), P.PATTERN, 0, 50_257)
     got = token_files.read(spark, out).collect()
-    want, start = [], 0
-    for i, t in sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
-        ids = np.array(ORACLE.encode_ordinary(t or "") + [0], dtype="<u4")
+    want, start, library = [], 0, Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    for i, t in sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]])):
+        ids = np.array(library.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes()), ids.tolist()))
         start += len(ids)
     assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32, r.token_ids) for r in got) == [(s, i, n, c, x) for i, s, n, c, x in want]
@@ -178,14 +182,45 @@ def test_token_files_read_back(spark, docs, none):
     assert token_files.read(spark, empty).count() == 0
 
 
-def test_added_tokens_equal_library():
-    from tokenizers import Tokenizer
+CONTENT = open(P.path("byte_bpe_50k.json"), "rb").read()
+
 
-    content = open(P.path("byte_bpe_50k.json"), "rb").read()
-    plain, encoder = Tokenizer.from_str(content.decode()), token_files.coder(content, P.PATTERN)
-    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n\n y <|endoftext", "none", "", "<|endoftext|> 12  <|endoftext|>é😀"]
+def check_against_library(texts):
+    """Each text's ids, encoded in one run and alone, as the library's plain call gives them."""
+    plain, encoder = Tokenizer.from_str(CONTENT.decode()), token_files.coder(CONTENT, P.PATTERN)
     want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
-    assert 50_256 in want[0] and [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(texts)] == want
+    ids, counts = encoder.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert [encoder.encode([t])[0].tolist() for t in texts] == want
+
+
+def test_added_tokens_equal_library():
+    texts = ["a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n\n y <|endoftext", "none", "", "<|endoftext|> 12  <|endoftext|>é😀"]
+    assert Tokenizer.from_str(CONTENT.decode()).encode(texts[0], add_special_tokens=False).ids == [64, 50256, 65]
+    check_against_library(texts)
+
+
+def test_token_files_equal_library_on_adverse_texts():
+    check_against_library([*ADVERSE, "tab\tx  \t y", " ", "a ", " a", "x  y z", "ab " * 700_000, "x" * 100_000])
+    check_against_library(["plain words, without. anything else", "two of them"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab c.,'\n\t0é日\u00a0\x1c\u2028stl")), max_size=60), min_size=1, max_size=4))
+def test_token_files_equal_library_on_random_texts(texts):
+    check_against_library(texts)
+
+
+def test_token_files_equal_library_on_a_table():
+    check_against_library([t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist()])
+
+
+def test_forgetting_changes_nothing():
+    texts = [" ".join(f"w{k * n}x, y{n}." for k in range(200)) for n in range(9)]
+    encoder = token_files.coder(CONTENT, P.PATTERN)
+    want = [encoder.encode([t])[0].tolist() for t in texts]
+    small = ChunkEncoder(encoder.inner.encode_words, P.PATTERN, limit=50)
+    assert [small.encode([t])[0].tolist() for t in texts] == want
 
 
 PATTERNS = (

@@ -64,8 +64,8 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    pages = html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), templates="n_templates")
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_templates")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,77 @@ def test_main_text():
     assert html_text.main_text("<div>" * 20_000 + "deep") == "deep"
 
 
+#: The contract's list, case by case: page and text.
+CASES = {
+    "menus": ("<ul class=menu><li>m</ul><div id=nav-main>n</div><div role=navigation>r</div><article>x</article><p>outside", "x"),
+    "no article": ("<ul class=menu><li>m</ul><nav>n</nav><menu><li>k</menu><h1>T</h1><p>x", "T\nx"),
+    "headers": ("<header>h</header><div class=site-header>s</div><article><header><h1>T</h1></header>x</article>", "T\nx"),
+    "footers": ("<h1>T</h1><p>x<footer>f</footer><div class='page-footer'>g</div>", "T\nx"),
+    "sidebars": ("<aside>a</aside><h1>T</h1><div class='left sidebar'>s</div><p>x", "T\nx"),
+    "notices": ("<div class=cookie-notice>c</div><div role=alert>a</div><h1>T</h1>x", "T\nx"),
+    "adverts": ("<article><h1>T</h1><div class=ad-slot-300x250><h1>Buy</h1>now</div><p>x</p></article>", "T\nx"),
+    "adverts with the first heading": ("<div class=ad><h1>Buy</h1></div><p>long enough text here<p>x", "long enough text here\nx"),
+    "comments with a heading": ("<article><h1>T</h1>x</article><div class=comment><h1>r</h1><p>reader comment</p></div>", "T\nx"),
+    "comments below": ("<h1>T</h1><p>some longer text of the page<div class=comment><h1>r</h1><p>reader comment</div>", "T\nsome longer text of the page"),
+    "comments as articles": ("<article><h1>T</h1>x y z</article><section id=comments><article>r</article><article class=comment>s</article></section>", "T\nx y z"),
+    "forms": ("<article>x<form>f <input value=v><select><option>o</select></form><textarea>t</textarea></article>", "x"),
+    "a form around the page": ("<body><form id=aspnetForm><article><h1>T</h1>x</article><form>y</form></form></body>", "T\nx"),
+    "a form around a page without article": ("<form><h1>T</h1><p>many words of text here<button>b</button></form>", "T\nmany words of text here"),
+    "scripts and styles": ("<article>x<script>s</script><style>p{}</style><noscript>n</noscript>y</article>", "xy"),
+    "parts of a name": ("<article><div class=social-history><p>Real prose.</div><div class=has-sidebar>More.</div></article>", "Real prose.\nMore."),
+    "articles outside main": ("<main><h1>T</h1></main><article>x</article>", "T\nx"),
+    "main around articles": ("<main>m<article>x</article></main>", "m\nx"),
+    "an open head": ("<html><head><title>t</title><body><p>x", "x"),
+    "text after an open head": ("<head><title>t</title>x", "x"),
+    "lists and tables": ("<article><h1>T1</h1><p>Text 1.</p><ul><li>Shared step</li></ul><dl><dt>a<dd>b</dl><table><tr><td>c</table><figure><figcaption>d</figcaption></figure></article>", "T1\nText 1.\nShared step\na\nb\nc\nd"),
+    "references and white space": ("<article> a&nbsp;&amp;\t b &#x41;&eacute; <br>c <pre>d\n  e</pre></article>", "a & b Aé c\nd e"),
+    "a class on the article": ("<body class='sidebar-right no-comments'><main class='content has-sidebar'><p>x</p></main></body>", "x"),
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_contract_cases(case):
+    assert html_text.main_text(CASES[case][0]) == CASES[case][1]
+
+
+def site(host, n, frame):
+    return [(f"{host}-{i}", f"https://{host}.example/{i}", frame.format(i=i, text=f"<p>Story {i} of {host}.</p><p>It ends.</p>")) for i in range(n)]
+
+
+def test_templates_alone_find_the_text(spark):
+    """Sites without telling tags or classes: only what recurs tells frame from text."""
+    frames = {
+        "a": "<body><div><a href=/>Home</a> <a href=/x>Contact</a></div><div>{text}</div><div>All rights reserved</div></body>",
+        "b": "<body><table><tr><td><div class=c1><ul><li>One<li>Two</ul></div><td><div class=c2>{text}</div><td><div>Join us</div></table></body>",
+        "c": "<body><section><div>Top</div><div><p>Most read</p><p>Number {i}</p></div></section><div>{text}</div></body>",
+    }
+    rows = [r for h, f in frames.items() for r in site(h, 30, f)]
+    rows += [(f"mirror-{i}", "https://a.example/0", rows[0][2]) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r.page_id: r for r in html_text.extract(df, templates="n_templates").collect()}
+    for h, gone in (("a", 2), ("b", 2), ("c", 1)):
+        for i in range(30):
+            text = f"Story {i} of {h}.\nIt ends."
+            r = got[f"{h}-{i}"]
+            assert (r.text, r.n_templates) == (f"Most read\nNumber {i}\n{text}" if h == "c" else text, gone)
+    assert got["mirror-3"].text == got["a-0"].text
+    alone = {r.page_id: r for r in html_text.extract(df.filter("page_id IN ('a-0', 'a-1', 'a-2')"), templates="n_templates").collect()}
+    assert alone["a-1"].n_templates == 0 and alone["a-1"].text.startswith("Home Contact\nStory 1")
+
+
+def test_pages_with_clashing_columns_and_edges(spark):
+    names = ["_host", "host", "_one", "one", "_two", "_subs", "subs", "sub", "_page", "page", "n", "pages", "article", "text"]
+    long = "<article>" + "<p>word</p>" * 100_000 + "</article>"
+    rows = [(None, None), ("x", None), (None, "<p>a</p>"), ("https://h/1", long), ("https://h/1", long)]
+    rows += [(f"https://h{i}/", "<div>same</div><p>t") for i in range(50)]
+    df = spark.createDataFrame(rows, "url string, html string").select("*", *(F.lit("mine").alias(n) for n in names))
+    got = html_text.extract(df).collect()
+    assert len(got) == len(rows) and all(r[n] == "mine" for r in got for n in names[:-1])
+    texts = [r.text for r in got]
+    assert texts.count("") == 2 and texts.count("\n".join(["word"] * 100_000)) == 2 and texts.count("same\nt") == 50
+    assert html_text.extract(df, page="text", text="text").select("text").distinct().count() == 1
+
+
 def test_templates_go_and_shared_passages_stay(spark):
     body = "<body><div class=box><p>Join our club of {h}</p></div><div><p>Text {i}</p><p>shared line</p></div></body>"
     rows = [(i, f"https://h{i % 2}.example/{i}", body.format(h=i % 2, i=i)) for i in range(40)]

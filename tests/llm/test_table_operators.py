@@ -49,6 +49,42 @@ def test_vectors_equal_brute_force(spark):
     assert cover_tree.near_vectors(df.limit(0)).count() == 0
 
 
+def test_clustered_vectors_below_the_square(spark, monkeypatch):
+    """20,000 vectors in clusters, one of them with a fifth of all: the links of brute force, for a part of its comparisons."""
+    rng = np.random.default_rng(5)
+    of = np.where(rng.random(20_000) < 0.2, 0, rng.integers(0, 400, 20_000))
+    centres = rng.standard_normal((400, 16))
+    x = np.float32(centres[of] + 0.15 * rng.standard_normal((20_000, 16)))
+    label = (np.arange(20_000) % 5 == 0).astype(int)
+    rows = [(int(i), v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))]
+    report = {}
+    found = cover_tree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), report=report)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in found.collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    for k in (0, 1):
+        at = np.nonzero(label == k)[0]
+        near = unit[at] @ unit[at].T >= 0.93
+        assert [got[i][0] for i in at.tolist()] == (near.sum(axis=1) - 1).tolist()
+        least = at.copy()
+        while True:
+            after = np.array([least[row].min() for row in near])
+            if (after == least).all():
+                break
+            least = after
+        assert [got[i][1] for i in at.tolist()] == least.tolist()
+    assert sum(n for n, _ in got.values()) > 1_000_000
+    assert report["vectors"] == 20_000 and report["compared"] < 0.25 * report["pairs"], report
+
+
+def test_few_pivots_and_labels_of_many_sizes(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "PIVOTS", 6)
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.standard_normal(3) + 2).tolist(), int(rng.integers(0, 3) ** 2)) for i in range(300)] + [(1000 + i, [1.0, 2.0, 3.0, float(i % 4)], 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in cover_tree.near_vectors(df, chunk=16).collect())
+    assert got == brute_vectors(rows)
+
+
 def test_cover_tree_is_nested_and_covers():
     x = np.random.default_rng(0).standard_normal((200, 5))
     x /= np.linalg.norm(x, axis=1)[:, None]

@@ -129,6 +129,13 @@ def free(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def free_prefix(columns: list[str], name: str) -> str:
+    """The name with so many underscores before it that no column begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name = "_" + name
+    return name
+
+
 def text_or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import random
 import re
+import time
 import zlib
 from itertools import combinations
 
@@ -261,6 +263,51 @@ def test_personal_data(spark, none):
     assert pii.find(none).count() == 0
 
 
+def planted(rng):
+    """A text with personal data at known places, and one without."""
+    words = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "elit"]) for _ in range(n))
+    hexes = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    dni = rng.randrange(10**7, 10**8)
+    rest = f"{rng.randrange(10**18):018d}"
+    iban = f"DE{98 - int(rest + '131400') % 97:02d}{rest}"
+    what, before, found, after = rng.choice([
+        ("secret", 'token = "', hexes, '"'), ("secret", "api_key: ", "sk_" + hexes[:28] + "X9", ""), ("secret", "password=", "aB3" + hexes[:24], ""),
+        ("iban", "account ", iban, ","), ("iban", "IBAN ", " ".join(iban[i : i + 4] for i in range(0, 22, 4)), ""), ("ipv6", "from host ", "2001:db8::" + hexes[:4], ""),
+        ("national_id", "", f"{dni}{'TRWAGMYFPDXBNJZSQVHLCKE'[dni % 23]}", "."), ("private_key", "", "-----BEGIN RSA PRIVATE KEY-----\n" + hexes + "\n-----END RSA PRIVATE KEY-----", ""),
+        ("name", "dear ", rng.choice(["Mary Miller", "Hans Gruber", "Dr. Ada Byron"]), ","), ("email_spelt", "write to ", "jo.doe (at) mail (dot) org", ""),
+    ])
+    left = words(rng.randrange(3, 30)) + " é😀 "
+    text = f"{left}{before}{found}{after} {words(9)}"
+    clean = f"{words(5)} at 12:30:45 ratio 3:4, path https://x.org/a/b-c-d/{words(1)}_and_so_on_and_on, {words(4)} a-very-long-hyphenated-word-chain DE12 3456 Section Title ISBN 978-3-16-148410-0 {words(3)}"
+    return text, f"{what}:{len(left) + len(before)}:{len(left) + len(before) + len(found)}", clean
+
+
+def test_added_spans_are_those_planted(spark):
+    rng = random.Random(4)
+    rows = [planted(rng) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, "mine") for i, (t, _, _) in enumerate(rows)] + [(1000 + i, c, "mine") for i, (_, _, c) in enumerate(rows)], "doc_id long, text string, _t string")
+    got = {r.doc_id: r for r in pii.find(df.withColumns({"_c": F.lit("mine"), "_digit": F.lit(1), "pii_t": F.lit(2)})).select("*", pii.joined("all_spans").alias("all")).collect()}
+    caught = sum(want in got[i]["all"].split(",") for i, (_, want, _) in enumerate(rows))
+    more = sum(got[i]["all"] not in ("", want) for i, (_, want, _) in enumerate(rows))
+    assert caught >= 0.95 * len(rows) and more <= 0.02 * len(rows)
+    assert {got[1000 + i]["all"] for i in range(len(rows))} == {""}
+    assert got[0]["_t"] == got[0]["_c"] == "mine" and got[0]["pii_t"] == 2
+
+
+def test_vote_table_is_bounded(spark):
+    """However many shapes the texts have, a feature has ten values at most."""
+    rows = [(i, "+1" + "".join("(). -"[(i >> k) % 5] + str(k % 10) for k in range(0, 2 + i % 12))) for i in range(3000)]
+    values = pii.candidates(spark.createDataFrame(rows, "i int, text string"), "text").select(F.explode("_c").alias("x"))
+    assert all(n <= 10 for n in values.agg(*(F.count_distinct(f"x.{f}") for f in pii.FEATURES)).first())
+
+
+def test_places_in_linear_time(spark):
+    text = "a@b.co " * 60_000
+    began = time.time()
+    r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("base_spans").alias("n"), F.expr("base_spans[59999]").alias("x")).first()
+    assert (r.n, r.x.start, r.x.end) == (60_000, 7 * 59_999, 7 * 59_999 + 6) and time.time() - began < 60
+
+
 def test_expectation_maximisation_finds_the_reliable_labeller():
     rng = np.random.default_rng(3)
     truth, counts = rng.random(4000) < 0.4, {}

@@ -10,13 +10,14 @@ whose size does not depend on the data, broadcast to the executors.
 A part of the sample is set aside to fit a temperature, which makes the score a calibrated probability,
 and the score below which a prediction is rejected.
 
-Training sample: rows with a text and a language, chosen by a hash of the id with the same expected number
-for each language, SAMPLE_ROWS in all (a documented bound; whole texts). Languages and their counts come
-from all rows. Prediction uses the text only.
+Training sample: rows with a text and a language, chosen by a hash of id and text, the same number for each language
+and SAMPLE_ROWS in all at most (a documented bound, as SAMPLE_CHARS is for each row). Languages and their counts come from
+all rows; of more languages than SAMPLE_ROWS the most frequent are learned. Prediction uses the whole text and nothing else.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; without any
-labelled row nothing is learned and every text is ``und``; ties go to the language that sorts first;
-rows stay as they come; an input column that has the name of a result is replaced.
+labelled row nothing is learned and every text is ``und``; ties go to the language that sorts first; a text of any
+length is read in pieces; rows stay as they come, repeated ones too; an empty table gives an empty one; an input
+column that has the name of a result is replaced, others may have any name.
 """
 
 from __future__ import annotations
@@ -30,16 +31,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import claim, ship
+from tessera.llm.common import claim, free, ship
 
 BUCKETS = 1 << 16
 DIMENSIONS = 8
 GRAMS = (2, 3, 4)
 SAMPLE_ROWS = 3000
+#: Characters of a sampled row that the driver gets: of a longer text, windows spread evenly over the whole of it.
+SAMPLE_CHARS = 20_000
+WINDOWS = 100
 EPOCHS = 2
 RATE = 0.5
 PIECE = 160  # bytes of a training piece
-MAX_LANGUAGES = 400
+#: Up to so many languages the table holds their scores; beyond it the two factors are kept apart.
+FOLDED = 64
 UNKNOWN = "und"
 SEED = 11
 _BYTES = 1 << 21
@@ -84,20 +89,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """languages, table (buckets by languages), temperature, reject_below."""
+    """languages, table (buckets by languages, or by dimensions with the linear layer as head), temperature, reject_below."""
 
-    def __init__(self, languages: list[str], table: np.ndarray, temperature: float = 1.0, reject_below: float = 0.0):
-        self.languages, self.table, self.temperature, self.reject_below = languages, table, temperature, reject_below
+    def __init__(self, languages: list[str], table: np.ndarray, temperature: float = 1.0, reject_below: float = 0.0, head: np.ndarray | None = None):
+        self.languages, self.table, self.temperature, self.reject_below, self.head = languages, table, temperature, reject_below, head
 
     def logits(self, text: str) -> np.ndarray | None:
         """Mean over the whole text, in pieces of bounded memory; None without a gram."""
-        total, n = np.zeros(len(self.languages)), 0
+        total, n = np.zeros(self.table.shape[1]), 0
         for a in range(0, len(text), _BYTES):
             g = buckets(folded(text[a : a + _BYTES]))
             if len(g):
                 total += np.bincount(g, minlength=BUCKETS) @ self.table if len(g) > BUCKETS else self.table[g].sum(axis=0, dtype=np.float64)
                 n += len(g)
-        return total / n if n else None
+        if not n:
+            return None
+        return total / n if self.head is None else total / n @ self.head
 
     def predict(self, text: str | None) -> tuple[str, float]:
         z = self.logits(text) if text and self.languages else None
@@ -146,7 +153,7 @@ def train(rows: list[tuple[str, str]], seed: int = SEED) -> Model:
             back = (d @ w.T) / n[:, None].astype(np.float32)
             w -= rate * (mean.T @ d)
             np.subtract.at(e, flat, np.repeat(rate * back * np.float32(8), n, axis=0))
-    model = Model(languages, (e @ w).astype(np.float32))
+    model = Model(languages, (e @ w).astype(np.float32)) if len(languages) <= FOLDED else Model(languages, e, head=w)
     _calibrate(model, aside, at)
     return model
 
@@ -177,23 +184,26 @@ def _calibrate(model: Model, rows: list[tuple[str, str]], at: dict[str, int]) ->
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> Model:
     """Two passes: languages are counted over all rows, then a hash of key and text chooses the sample: of each language
     the rows of the smallest hashes among about twice as many as are wanted, repeated rows once."""
-    known = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).agg(F.count("*")).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"{len(counts)} languages; at most {MAX_LANGUAGES} are learned")
+    known = df.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(key).cast("string").alias("k")).filter("lang IS NOT NULL AND text IS NOT NULL")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
     if not counts:
         return train([])
-    share = max(1, rows // len(counts))
-    choose, whole = F.lit(False), 1 << 40
-    known = known.select(text, lang, F.col(key).cast("string").alias("k"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_h"))
-    for name, n in sorted(counts.items()):
-        chosen = F.pmod("_h", F.lit(whole)) < max(1, whole * 2 * share // n) if n > 2 * share else F.lit(True)
-        choose = choose | ((F.col(lang) == name) & chosen)
-    order = Window.partitionBy(lang).orderBy("_h")
-    found = known.filter(choose).dropDuplicates([lang, "_h"]).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= share).collect()
+    share, whole = max(1, rows // len(counts)), 1 << 40
+    upto = [(r["lang"], whole if r["n"] <= 2 * share else max(1, whole * 2 * share // r["n"])) for r in counts]
+    chosen = known.withColumn("h", F.xxhash64("k", "text")).join(F.broadcast(df.sparkSession.createDataFrame(upto, "lang string, upto long")), "lang")
+    chosen = chosen.filter(F.pmod("h", F.lit(whole)) < F.col("upto")).withColumn("text", sampled("text")).dropDuplicates(["lang", "h"])
+    order = Window.partitionBy("lang").orderBy("h")
+    found = chosen.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= share).select("text", "lang", "k").collect()
     return train([(r[0], r[1]) for r in sorted(found, key=lambda r: (r[2] or "", r[1], r[0]))])
 
 
+def sampled(text: str) -> Column:
+    """A text of SAMPLE_CHARS characters at most; of a longer one, windows from its beginning to its end."""
+    width = SAMPLE_CHARS // WINDOWS - 1
+    at = f"CAST(1 + i * (length({text}) - {width}L) DIV {WINDOWS - 1} AS INT)"
+    return F.expr(f"CASE WHEN length({text}) <= {SAMPLE_CHARS} THEN {text} ELSE array_join(transform(sequence(0, {WINDOWS - 1}), i -> substring({text}, {at}, {width})), ' ') END")
+
+
 def has_letter(text: str | Column) -> Column:
     return F.coalesce((F.col(text) if isinstance(text, str) else text).rlike(r"\p{L}"), F.lit(False))
 
@@ -206,15 +216,15 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     keep = [f for f in df.schema.fields if f.name not in new]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    shared = spark.sparkContext.broadcast(model)
+    shared, (letter,) = spark.sparkContext.broadcast(model), free(names, "letter")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid")
         m = shared.value
         for batch in it:
-            found = [m.predict(t) if ok else (UNKNOWN, 0.0) for t, ok in zip(batch.column(text).to_pylist(), batch.column("_letter").to_pylist(), strict=True)]
+            found = [m.predict(t) if ok else (UNKNOWN, 0.0) for t, ok in zip(batch.column(text).to_pylist(), batch.column(letter).to_pylist(), strict=True)]
             score = np.array([s for _, s in found], dtype=np.float64)
             columns = [pa.array([p for p, _ in found], pa.string()), pa.array(score), pa.array([p == UNKNOWN or s < m.reject_below for p, s in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *columns], names=[*names, *new])
 
-    return df.select(*names, has_letter(text).alias("_letter")).mapInArrow(run, schema)
+    return df.select(*names, has_letter(text).alias(letter)).mapInArrow(run, schema)

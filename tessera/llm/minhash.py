@@ -17,7 +17,8 @@ and no pairs. No comparison that could join two components is left out. Nothing
 
 Defined results: a null or empty text, or one of white space, has no shingles, links with nothing and
 stays; rows with equal texts are one class; a null id counts as larger than any other; rows stay as
-they come, repeated ones too; an empty table gives an empty one; further columns play no part.
+they come, repeated ones too; an empty table gives an empty one; texts may be of any length, long ones are hashed a
+megabyte at a time; further columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import claim, cut, drop, remember, ship
+from tessera.llm.common import claim, cut, drop, free, remember, ship
 from tessera.llm.components import least_neighbour, renamed
 
 WORDS = 5
@@ -44,6 +45,7 @@ BROADCAST_IDS = 1_000_000
 PART = 256
 _BYTES = 1 << 20
 _NO_ID = -(2**63)
+_NAMES = ("id", "t", "n_shingles", "class", "bands", "root", "component_id", "node", "alone", "x")
 
 _rng = np.random.default_rng(SEED)
 _TABLE = _rng.integers(1, 2**64, 256, dtype=np.uint64)
@@ -235,10 +237,10 @@ def _grouped(df: DataFrame, doc_id: str, text: str, percent: int, more: tuple[st
     n_wanted = wanted.count()
     found = classes.select("class", F.col("node").alias("root"), F.col("head").alias("component_id"))
     if n_wanted:
-        heads = wanted.select(F.coalesce("head", F.lit(_NO_ID)).alias("_head")).distinct()
-        fetched = df.withColumn("_head", F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NO_ID)))
-        fetched = fetched.join(F.broadcast(heads) if n_wanted <= BROADCAST_IDS else heads, "_head", "left_semi")
-        sets = cut(full_sets(fetched, doc_id, text).join(wanted.select("class", "node"), "class").select("node", "set"), "sets")
+        heads = wanted.select(F.coalesce("head", F.lit(_NO_ID)).alias("id")).distinct()
+        fetched = df.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NO_ID)).alias("id"), F.col(text).alias("t"))
+        fetched = fetched.join(F.broadcast(heads) if n_wanted <= BROADCAST_IDS else heads, "id", "left_semi")
+        sets = cut(full_sets(fetched, "id", "t").join(wanted.select("class", "node"), "class").select("node", "set"), "sets")
         if sets.count() > n_wanted:  # an id stands for several rows
             old, sets = sets, cut(sets.groupBy("node").agg(F.first("set").alias("set")), "sets")
             drop(old)
@@ -362,10 +364,11 @@ def _link(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row of each group stays, with all its columns: that of the smallest id, and of the smallest hash of its text
     where the id is repeated or missing. Rows without shingles are no group: of them only repeats of id and text go."""
-    own = df.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
-    alone = F.when(F.col("class").isNull(), F.struct("id", "_sha"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_sha"))
-    stay = _grouped(own, doc_id, text, percent, ("_sha",)).groupBy("root", alone.alias("alone")).agg(first.alias("x"))
-    stay = stay.select(F.col("x.id").alias("_id"), F.col("x._sha").alias("_kept"))
-    both = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept"))
-    return own.join(stay, both, "left_semi").dropDuplicates([doc_id, "_sha"]).drop("_sha")
+    sha, own_id, kept = free([*df.columns, *_NAMES], "sha", "own_id", "kept_sha")
+    own = df.withColumn(sha, F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)))
+    alone = F.when(F.col("class").isNull(), F.struct("id", sha))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col(sha).alias("sha")))
+    stay = _grouped(own, doc_id, text, percent, (sha,)).groupBy("root", alone.alias("alone")).agg(first.alias("x"))
+    stay = stay.select(F.col("x.id").alias(own_id), F.col("x.sha").alias(kept))
+    both = F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.col(sha) == F.col(kept))
+    return own.join(stay, both, "left_semi").dropDuplicates([doc_id, sha]).drop(sha)

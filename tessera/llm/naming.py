@@ -13,7 +13,8 @@ split by Spark's skew handling.
 
 Defined results: a null text counts as empty; empty texts are equal to one another; of equal texts the
 row of the smallest id stays (a null id counts as the largest; of rows equal in both, one); every row of
-the input has a row in the result; an empty table gives an empty one; other columns play no part.
+the input has a row in the result; texts may be of any length; an empty table gives an empty one; other columns,
+whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ASCII_SPACE, cut, drop, text_or_empty
+from tessera.llm.common import ASCII_SPACE, cut, drop, free, text_or_empty
 
 BLOCK = 4096
 
@@ -98,8 +99,9 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    stay = exact_groups(df, doc_id, text, block).filter("kept").select(F.col(doc_id).alias("_id"), F.col("text_sha256").alias("_sha"))
-    own = df.withColumn("_sha0", F.sha2(normalised(text), 256))
-    both = own.join(stay, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha")), "left_semi")
-    return both.dropDuplicates([doc_id, "_sha0"]).drop("_sha0")
+    """The rows that stay, with all their columns, whatever their names."""
+    own_id, kept, sha = free(df.columns, "id", "kept_sha", "sha")
+    stay = exact_groups(df, doc_id, text, block).filter("kept").select(F.col(doc_id).alias(own_id), F.col("text_sha256").alias(kept))
+    own = df.withColumn(sha, F.sha2(normalised(text), 256))
+    both = own.join(stay, F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.col(sha) == F.col(kept)), "left_semi")
+    return both.dropDuplicates([doc_id, sha]).drop(sha)

@@ -38,7 +38,7 @@ def source_domain(source: str = "source"):
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), source_domain(), MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS)
-    return mixed.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), mixing.tokens("text").alias("n_tokens"), "copies")
+    return mixed.select("doc_id", *(F.col(f"mix_{n}").alias(n) for n in (*mixing.LEVELS, "copies")), mixing.tokens("text").alias("n_tokens"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

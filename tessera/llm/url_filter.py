@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from tessera.llm.common import fresh_dir, ship
 from tessera.llm.token_files import _fs, load
 
-#: Rules that one array holds at most; about 60 bytes each, mapped and not copied.
-MAX_RULES = 50_000_000
+#: Rules that one array holds at most: the driver sorts them in memory, about 500 bytes each, so 2.5 GB at the bound.
+MAX_RULES = 5_000_000
 
 
 def host_of(url: str | Column) -> Column:

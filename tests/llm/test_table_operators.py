@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import public_tokenizers as P
+
 import corpus_pipeline
-from tessera.llm import cover_tree, html_text, mixing, url_filter
+from tessera.llm import bpe, cover_tree, html_text, langid, minhash, mixing, naming, pii, url_filter
 from tessera.llm.components import components
 from tessera.llm.queries import MIX_EPOCHS, MIX_WEIGHTS, URL_RULES, source_domain
 
@@ -264,29 +266,96 @@ def test_shortages_go_to_siblings_first():
     assert mixing.allocate({}, {}, 5, 1) == {} and mixing.fill(10, [(0.0, 20), (1.0, 4)]) == [6, 4]
 
 
-def test_mix_takes_prefixes_that_reach_the_budgets(spark):
-    df = spark.createDataFrame([(i, "w " * (i % 7), ["en", "de", None][i % 3], f"src{i % 5}" if i % 11 else None, i) for i in range(3000)] + [(1, None, None, None, 1)] * 2, "doc_id long, text string, lang string, source string, copies long")
-    mixed = mixing.mix(df.withColumn("key", F.lit(1)), source_domain(), MIX_WEIGHTS, 0.6, MIX_EPOCHS).select("*", mixing.tokens("text").alias("n")).collect()
-    supply, got = {}, {}
-    for r in mixed:
-        leaf = (r._domain, r._lang, r._source)
-        supply[leaf] = supply.get(leaf, 0) + r.n
-        got[leaf] = got.get(leaf, 0) + r.n * r.copies
-    want = mixing.allocate(supply, MIX_WEIGHTS, int(0.6 * sum(supply.values())), MIX_EPOCHS)
-    assert len(mixed) == 3002 and all(want[k] <= got[k] < want[k] + 7 for k in want)
-    assert all(max(r.copies for r in mixed if (r._domain, r._lang, r._source) == k) <= MIX_EPOCHS for k in want)
-    again = mixing.mix(df.repartition(3).withColumn("key", F.lit(1)), source_domain(), MIX_WEIGHTS, 0.6, MIX_EPOCHS)
-    assert sorted((r.doc_id, r.copies) for r in again.collect()) == sorted((r.doc_id, r.copies) for r in mixed)
+def plain_shares(supplies, weights, budget, epochs):
+    """The budgets by another way: at each node a level is sought at which the children's min(weight * level, capacity) make the amount."""
+    weight = lambda path: weights.get(path, weights.get(("*",) * (len(path) - 1) + path[-1:], 1.0))
+    out = {}
+
+    def down(path, amount):
+        below = {p[: len(path) + 1] for p in supplies if p[: len(path)] == path}
+        if below == {path}:
+            out[path] = amount
+            return
+        room = {c: epochs * sum(n for p, n in supplies.items() if p[: len(c)] == c) for c in below}
+        low, high = 0.0, 1e15
+        for _ in range(200):
+            level = (low + high) / 2
+            low, high = (level, high) if sum(min(weight(c) * level, room[c]) for c in below) < amount else (low, level)
+        for c in below:
+            down(c, min(weight(c) * high, room[c]))
+
+    down((), min(budget, epochs * sum(supplies.values())))
+    return out
+
+
+def test_budgets_equal_a_plain_search():
+    rng = np.random.default_rng(3)
+    for k in range(30):
+        leaves = {(f"d{rng.integers(3)}", f"l{rng.integers(4)}", f"s{i}"): int(rng.integers(1, 10_000)) for i in range(25)}
+        weights = {("d0",): 2.5, ("*", "l1"): 0.2, ("*", "*", "s3"): 4.0}
+        budget, epochs = int(rng.integers(1, 3 * sum(leaves.values()))), 1 + k % 3
+        got, want = mixing.allocate(leaves, weights, budget, epochs), plain_shares(leaves, weights, budget, epochs)
+        assert sum(got.values()) == min(budget, epochs * sum(leaves.values())) and all(abs(got[p] - want[p]) <= 6 for p in leaves)
+
+
+def test_mix_takes_prefixes_that_reach_the_budgets(spark, monkeypatch):
+    """Copies equal those of sorting each leaf by the seeded order and taking documents until the rest is reached; with few
+    documents in a bin the edge is found in several passes."""
+    rows = [(i, "w " * (i % 7) + "日本" * (i % 3), ["en", "de", None][i % 3], f"src{i % 5}" if i % 11 else None, i) for i in range(3000)] + [(1, None, None, None, 1)] * 2
+    df = spark.createDataFrame([*rows, (5000, "long " * 200_000, "en", "src1", 0)], "doc_id long, text string, lang string, source string, copies long")
+    df = df.withColumns({"key": F.lit(1), "mix_copies": F.lit("mine"), "_domain": F.lit(3)})
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+    for bin_rows, bits in ((512, 12), (1, 3)):
+        monkeypatch.setattr(mixing, "BIN_ROWS", bin_rows)
+        monkeypatch.setattr(mixing, "BITS", bits)
+        mixed = mixing.mix(df, source_domain(), MIX_WEIGHTS, 0.6, MIX_EPOCHS)
+        rows = mixed.withColumns({"n": mixing.tokens("text"), **{f"h{w}": F.xxhash64(F.lit(7), F.lit(w).cast("long"), key) for w in range(MIX_EPOCHS + 1)}}).collect()
+        leaves = {}
+        for r in rows:
+            leaves.setdefault((r._mix_domain, r._mix_lang, r._mix_source), []).append(r)
+        supply = {k: sum(r.n for r in v) for k, v in leaves.items()}
+        budgets = mixing.allocate(supply, MIX_WEIGHTS, int(0.6 * sum(supply.values())), MIX_EPOCHS)
+        for k, own in leaves.items():
+            whole, rest = divmod(budgets[k], supply[k])
+            before, last = 0, None
+            for r in sorted(own, key=lambda r: r[f"h{whole}"]):
+                if before >= rest and r[f"h{whole}"] != last:
+                    break
+                before, last = before + r.n, r[f"h{whole}"]
+                assert r._mix_copies == whole + 1
+            assert last is None or sum(r._mix_copies == whole + 1 for r in own) == sum(r[f"h{whole}"] <= last for r in own)
+            assert all(r._mix_copies in (whole, whole + 1) and r.mix_copies == "mine" for r in own)
+    assert mixing.repeated(mixed, df.columns).columns == df.columns
     assert mixing.mix(df.limit(0), source_domain(), MIX_WEIGHTS, 0.6, MIX_EPOCHS).count() == 0
 
 
+CLASHES = ["_id", "id", "_sha", "sha", "sha0", "_letter", "letter", "_host", "host", "_t", "t", "_c", "c", "pii_c", "class", "root", "node", "x", "key", "_key", "n", "name", "text_sha256", "keep_id"]
+
+
+def test_operators_with_clashing_columns(spark):
+    """Every operator that keeps columns keeps those that have the names of its own helpers."""
+    rows = [(1, "the same words in a longer text here", "en", "src1"), (2, "the same words in a longer text here", "en", "src2"), (3, None, None, None), (4, "call +1 (017) 555-7713", "en", "src1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").select("*", *(F.lit("mine").alias(c) for c in CLASHES))
+    model = langid.train([(t, lang) for _, t, lang, _ in rows if lang] * 3 + [("ein Satz in der Sprache", "de")] * 9)
+    outs = {
+        "naming": (naming.deduplicate(df), 3), "minhash": (minhash.deduplicate(df), 3), "langid": (langid.predict(df, model), 4), "pii": (pii.find(df), 4),
+        "mixing": (mixing.mix(df, source_domain(), {}, 0.5, 1), 4), "bpe": (bpe.encode_decode(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN), 4),
+    }
+    for name, (out, n) in outs.items():
+        found = out.collect()
+        assert len(found) == n and all(r[c] == "mine" for r in found for c in CLASHES), name
+
+
 @pytest.mark.skipif(not glob.glob(SMALL), reason="no small tables")
 def test_pipeline_stages_chain(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "source_mixing", "byte_bpe"]
     extra = spark.createDataFrame([(900_000, None, None, None, None), (900_001, "", "en", "src1", 0), (900_002, "12 34", None, "src1", 5)], docs.schema)
     docs, columns, sizes = docs.unionByName(extra), docs.columns, []
+    none = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, SMALL)
+        assert none.count() == 0 and (name == "byte_bpe" or none.columns == columns)
         out = f"{tmp_path}/{name}"
         stage(spark, docs, SMALL).write.parquet(out)
         docs = spark.read.parquet(out)

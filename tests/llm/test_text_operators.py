@@ -18,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, langid, minhash, naming, pii, token_files
+from tessera.llm import bpe, langid, minhash, naming, pii, queries, token_files
 from tessera.llm.chunks import ChunkEncoder
 from tessera.llm.common import fresh_dir
 
@@ -350,3 +350,33 @@ def test_language_sample_is_bounded(spark, monkeypatch):
     langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=90)
     assert {lang: sum(x[1] == lang for x in seen) for lang in WORDS} == dict.fromkeys(WORDS, 30)
     assert len(set(seen)) == 90 and 20 < sum(int(t.split()[1]) % 2 for t, _ in seen if t != "again") < 70
+
+
+def test_many_languages_and_long_rows(spark, monkeypatch):
+    """More languages than are learned, or than are folded into one table; long rows are sampled over their whole length."""
+    rows = [(i, f"word{lang}x word{lang}y " * 9, f"l{lang:03d}") for lang in range(90) for i in range(1 + (lang < 70))]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=80)
+    assert len(model.languages) == 80 and model.head is not None and all(f"l{k:03d}" in model.languages for k in range(70))
+    assert model.predict("word5x")[0] in model.languages
+    long = spark.createDataFrame([("a" * 30_000 + "b" * 30_000 + "c" * 9,)], "text string").select(langid.sampled("text").alias("t")).first().t
+    assert len(long) <= langid.SAMPLE_CHARS and long.endswith("c" * 9) and 0.45 < long.count("a") / len(long) < 0.55
+
+
+def test_score_is_calibrated():
+    """Among predictions of about a score, about that part is right: on held-out texts."""
+    model = langid.train(sentences(200, 1))
+    found = [(*model.predict(text), lang) for text, lang in sentences(150, 5)]
+    right = np.array([p == lang for p, _, lang in found])
+    score = np.array([s for _, s, _ in found])
+    assert abs(score.mean() - right.mean()) < 0.05 and ((0 <= score) & (score <= 1)).all()
+
+
+def test_registered_language_query_on_a_table(spark):
+    """The query's split and its accuracy on the documents that it did not learn from."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+    lang = {r.doc_id: r.lang for r in rows}
+    got = queries.op5_language_id(spark, sf).collect()
+    assert len(got) == len(rows) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held_out and lang[r.doc_id] is not None and r.lang_pred != "und"]
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.99

@@ -20,7 +20,7 @@ CLEANER = (
     (r"<[^>]+>", "", ""),
     (r"\[\[File:.*?\]\]", "id", ""),
     (r"\[\[Image:.*?\]\]", "id", ""),
-    (r"\[\[([^\|\]]+)\|([^\]]+)\]\]", "", "2"),
+    (r"\[\[([^|\]]+)\|([^\]]+)\]\]", "", "2"),
     (r"\[\[([^\]]+)\]\]", "", "1"),
     (rf"\[https?://[^{WS}\]]+[{WS}]+([^\]]+)\]", "", "1"),
     (rf"\[https?://[^{WS}\]]+\]", "", ""),
@@ -62,12 +62,32 @@ def tiles(c: str | Column, pattern: str) -> Column:
     return F.regexp_extract_all(_col(c), F.lit(pattern), F.lit(0))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value computed once: inside a lambda a plain expression is computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(sizes: Column, block: int = 256) -> Column:
+    """Running sums of an array of integers, in blocks: an array that is added to is copied whole, so none gets long."""
+    def sums(first: Column, rest: Column) -> Column:
+        return F.aggregate(rest, first, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    def joined(inner: Column) -> Column:
+        totals = F.transform(inner, lambda b: F.when(F.size(b) > 0, F.element_at(b, -1)).otherwise(0))
+        bases = F.slice(sums(F.array(F.lit(0)), totals), 1, F.size(inner))
+        return F.flatten(F.zip_with(inner, bases, lambda b, base: F.transform(b, lambda x: x + base)))
+
+    def blocks(n: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(n) - 1) / block).cast("int")))
+        own = F.transform(parts, lambda b: F.slice(n, b * block + 1, block))
+        return bound(F.transform(own, lambda b: sums(F.slice(b, 1, 1), F.slice(b, 2, block))), joined)
+
+    return bound(sizes, blocks)
+
+
 def ends(pieces: Column) -> Column:
     """Where each piece ends."""
-    def add(a: Column, x: Column) -> Column:
-        return F.concat(a, F.array(F.when(F.size(a) > 0, F.element_at(a, -1)).otherwise(0) + F.length(x)))
-
-    return F.aggregate(pieces, F.array().cast("array<int>"), add)
+    return running(F.transform(pieces, lambda x: F.length(x)))
 
 
 def spans(pieces: Column, until: Column) -> Column:

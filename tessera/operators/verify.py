@@ -97,6 +97,18 @@ def decide(df: DataFrame, support: Column, contradict: Column, numeric: Column,
     )
 
 
+def entailment_rollup(pairs: DataFrame, by: str = "claim_id", entail: str = "nli_entail", contradict: str = "nli_contradict", least: float = 0.5) -> DataFrame:
+    """Of each claim over its evidence: pairs, the greatest probabilities and the part of the pairs that entail it; null without a judged pair."""
+    judged = F.count(entail)
+    yes = F.count_if(F.col(entail) >= least)
+    return pairs.groupBy(by).agg(
+        F.count("*").alias("pairs"),
+        F.round(F.max(entail), DECIMALS).alias("max_entailment_prob"),
+        F.round(F.max(contradict), DECIMALS).alias("max_contradiction_prob"),
+        F.round(F.try_divide(yes, judged), DECIMALS).alias("entailment_ratio"),
+    )
+
+
 def mitigated(status: str, text: str) -> Column:
     """What an answer says of a claim after mitigation: contradicted ones go, weak ones are flagged."""
     return F.when(F.col(status) == "Contradictory", "[removed]").when(F.col(status) == "Low Confidence", F.concat(F.lit("[unverified] "), F.col(text))).otherwise(F.col(text))

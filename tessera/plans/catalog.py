@@ -85,13 +85,48 @@ def lsh_search(spark, sf):
     return _hits(retrieval.HyperplaneIndex(rows, 64).search(queries, K))
 
 
-def recall_at_k(spark, sf):
+def _recalls(spark, sf) -> DataFrame:
+    """Recall and the rows compared: the inverted file at a tenth of its lists and at the probes of ivf_search, hyperplanes."""
     queries, rows = _asked(spark, sf)
     exact = retrieval.top_k(queries, rows, K)
-    index, _, probes = _index(rows)
-    kinds = {"ivf": index.search(queries, K, probes=probes), "lsh": retrieval.HyperplaneIndex(rows, 64).search(queries, K)}
-    out = [retrieval.recall(found, exact).withColumn("index_kind", F.lit(name)) for name, found in kinds.items()]
-    return out[0].unionByName(out[1])
+    index, lists, probes = _index(rows)
+    planes = retrieval.HyperplaneIndex(rows, 64)
+    tenth = max(1, lists // 10)
+    kinds = {
+        "ivf": (index.search(queries, K, probes=probes), index.compared(queries, probes)),
+        "ivf_tenth": (index.search(queries, K, probes=tenth), index.compared(queries, tenth)),
+        "lsh": (planes.search(queries, K), planes.compared(queries)),
+    }
+    whole = queries.count() * rows.count()
+    out = [retrieval.recall(found, exact).select(F.lit(n).alias("index_kind"), "*", F.lit(c).cast("long").alias("compared"), F.lit(whole).cast("long").alias("total")) for n, (found, c) in kinds.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def recall_report(spark, sf):
+    return _recalls(spark, sf)
+
+
+def recall_at_k(spark, sf):
+    """Do the searches reach a recall of 0.9 without more comparisons than the exact one?"""
+    kept = _recalls(spark, sf).filter("index_kind <> 'ivf_tenth'")
+    return kept.select("index_kind", "wanted", (F.col("recall") >= 0.9).alias("enough"), (F.col("compared") <= F.col("total")).alias("within"))
+
+
+def index_add_equals_flat(spark, sf):
+    """An index of half the rows to which the other half is added, all lists probed."""
+    queries, rows = _asked(spark, sf)
+    half = rows.filter("vec_id % 2 = 0")
+    lists = max(2, int(half.count() ** 0.5))
+    index = retrieval.InvertedFile.build(half, lists).add(rows.filter("vec_id % 2 <> 0"))
+    return _hits(index.search(queries, K, probes=lists))
+
+
+def rerank_top5(spark, sf):
+    """The five best by inner product, in the order of how near their labels are to the query's."""
+    queries, rows = _asked(spark, sf)
+    label = _t(spark, sf, "embeddings").select("vec_id", "label")
+    hits = retrieval.top_k(queries, rows, K).join(label, "vec_id").join(label.select(F.col("vec_id").alias("query_id"), F.col("label").alias("own")), "query_id")
+    return _longs(retrieval.rerank(hits, -F.abs(F.col("label") - F.col("own")).cast("double")), "rank", "first_rank").select("query_id", "vec_id", "first_rank", "rank")
 
 
 # pages and articles
@@ -189,11 +224,24 @@ def claims_lossless(spark, sf):
 
 
 def claims_tail(spark, sf):
-    return _claims(spark, sf).filter("tail AND char_start > 0").select("answer_id", "claim_text", "char_start", "char_end")
+    """The answers, each with a remainder that no boundary ends."""
+    own = answers(spark, sf).withColumn("text", F.concat("text", F.lit(" and what follows has no end")))
+    return _longs(sentences.claims(own), "char_start", "char_end").filter("tail AND char_start > 0").select("answer_id", "claim_text", "char_start", "char_end")
 
 
 def claims_no_boundary(spark, sf):
-    return _claims(spark, sf).filter("tail AND char_start = 0").select("answer_id", "claim_text", "char_start", "char_end")
+    """The answers without any boundary: the whole text is one claim."""
+    own = answers(spark, sf).withColumn("text", F.translate("text", ".!?", ",;:"))
+    return _longs(sentences.claims(own), "char_start", "char_end").filter("tail AND char_start = 0").select("answer_id", "claim_text", "char_start", "char_end")
+
+
+def claim_totals(spark, sf):
+    return sentences.claim_total(sentences.claims(answers(spark, sf)))
+
+
+def claims_without_ids(spark, sf):
+    """Answers that come without an id get the hash of their text."""
+    return _longs(sentences.claims(answers(spark, sf).select("text").distinct(), None), "ordinal").select("answer_id", "ordinal", "claim_text")
 
 
 def claim_span_validation(spark, sf):
@@ -235,7 +283,7 @@ def format_prompt(spark, sf):
 def claim_evidence_pairs(spark, sf):
     items, _, hits = _lexical(spark, sf)
     own = sentences.claims(items.select(F.col("item_id").alias("answer_id"), "text"))
-    found = hits.select(F.col("query_id").alias("answer_id"), "rank", evidence.evidence_id("doc_id", "rank").alias("evidence_id"), "score")
+    found = hits.select(F.col("query_id").alias("answer_id"), "rank", F.concat_ws("#", F.col("doc_id").cast("string"), F.lit("0")).alias("evidence_id"), "score")
     out = evidence.pairs(own, found)
     return out.select("claim_id", "answer_id", F.array_join("evidence_candidates", ",").alias("evidence_candidates"), "top_evidence", F.size("evidence_spans").cast("long").alias("n_evidence"))
 
@@ -324,6 +372,23 @@ def mitigated_answer(spark, sf):
     return own.groupBy("conv_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("final_text"))
 
 
+def entailment_rollup(spark, sf):
+    """Every claim of a turn against each earlier text of its conversation, judged by token overlap."""
+    c = _t(spark, sf, "conversations")
+    said = c.filter("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("claim"))
+    before = c.select("conv_id", F.col("turn").alias("earlier"), F.col("text").alias("evidence"))
+    pairs = said.join(before, "conv_id").filter("earlier < turn").withColumn("claim_key", F.concat_ws("#", "conv_id", "turn"))
+    pairs = pairs.withColumns({"nli_entail": verify.token_coverage("claim", "evidence"), "nli_contradict": F.when(verify.numeric_check("claim", "evidence"), 0.0).otherwise(1.0)})
+    return verify.entailment_rollup(pairs, "claim_key", least=0.2)
+
+
+def contradicted_claims(spark, sf):
+    """Verdicts where a model's probability of contradiction speaks, and not the numbers."""
+    own = turns(spark, sf).withColumns({"a": verify.token_coverage("claim", "evidence"), "n": F.pmod(F.col("turn") + F.col("conv_id"), F.lit(5))})
+    out = verify.decide(own, F.coalesce("a", F.lit(0.0)), F.col("n") / 5, F.lit(True))
+    return out.select("conv_id", "turn", "status", "band", "contradict_prob", "overall_confidence")
+
+
 def summary_stats(spark, sf):
     return verify.summary(_decided(spark, sf), "conv_id")
 
@@ -357,23 +422,37 @@ def ablation(spark, sf):
 # the whole plan
 
 
+def _asking(spark, sf) -> DataFrame:
+    asked = _t(spark, sf, "conversations").filter((F.col("role") == "user") & (F.col("conv_id") % EVERY == 0))
+    return asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
+
+
 def rag_pipeline(spark, sf):
     """User turns (of the conversations whose id is divisible by 20) answered from the documents' sentences."""
-    asked = _t(spark, sf, "conversations").filter((F.col("role") == "user") & (F.col("conv_id") % EVERY == 0))
-    queries = asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    out = Pipeline.from_documents(_t(spark, sf, "documents"), k=K).run(queries)
+    out = Pipeline.from_documents(_t(spark, sf, "documents"), k=K).run(_asking(spark, sf))
     return out.select("claim_id", "answer_id", F.col("ordinal").cast("long").alias("ordinal"), "claim_text", F.array_join("evidence_candidates", ",").alias("evidence_candidates"), "top_evidence")
 
 
+def pipeline_records(spark, sf):
+    """The whole record of each query, its parts laid side by side; eight new tokens at most."""
+    out = Pipeline.from_documents(_t(spark, sf, "documents"), k=K, parameters={"max_new_tokens": 8, "temperature": 0.7, "top_p": 0.9, "do_sample": False}).records(_asking(spark, sf))
+    g, r = F.col("generator_metadata"), F.col("retrieval_metadata")
+    return out.select(
+        "query_id", "query", "draft_response", F.size("claim_evidence_pairs").cast("long").alias("claims"), F.size(g["tokens"]).cast("long").alias("tokens"), F.size(g["scores"]).cast("long").alias("scores"),
+        F.array_join(g["evidence_used"], ",").alias("evidence_used"), g["generation_config"]["max_new_tokens"].cast("long").alias("max_new_tokens"), r["top_k"].cast("long").alias("top_k"),
+        r["num_retrieved"].cast("long").alias("num_retrieved"), F.array_join(r["evidence_doc_ids"], ",").alias("evidence_doc_ids"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        retrieve_top5, retrieve_single, retrieve_exclude_self, index_self_test, batch_report, ivf_full_probe_equals_flat, ivf_search, lsh_search, recall_at_k,
+        retrieve_top5, retrieve_single, retrieve_exclude_self, index_self_test, batch_report, ivf_full_probe_equals_flat, ivf_search, lsh_search, recall_at_k, recall_report, index_add_equals_flat, rerank_top5,
         page_filter, filter_reasons, extract_counts, clean_pages, clean_wikitext_synth, article_ids, dataset_slice, systematic_sample, row_agreement,
-        chunk_sentences, chunk_stats, doc_char_stats, claims_regex, claims_lossless, claims_tail, claims_no_boundary, claim_span_validation,
+        chunk_sentences, chunk_stats, doc_char_stats, claims_regex, claims_lossless, claims_tail, claims_no_boundary, claim_totals, claims_without_ids, claim_span_validation,
         bm25_top5, hybrid_top5, retrieval_metadata, format_prompt, claim_evidence_pairs,
         vector_norms, l2_normalise, norm_check, hash_encoding, softmax_probabilities, token_entropy, perplexity,
-        coverage_tokens, coverage_numbers, coverage_entities, numeric_check, citation_match, claim_decisions, mitigated_answer, summary_stats, detector_metrics, ablation,
-        rag_pipeline,
+        coverage_tokens, coverage_numbers, coverage_entities, numeric_check, citation_match, claim_decisions, contradicted_claims, entailment_rollup, mitigated_answer, summary_stats, detector_metrics, ablation,
+        rag_pipeline, pipeline_records,
     )
 }

@@ -102,6 +102,11 @@ cl AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY char_start) - 1
 
 CLAIMS = f"WITH {ANSWERS}, {_claims('ans')}"
 
+def _changed(text: str) -> str:
+    """The claims of the answers with another text."""
+    return f"WITH {ANSWERS.replace('text FROM', text + ' AS text FROM')}, {_claims('ans')}"
+
+
 LOSSLESS_CLAIMS = f"""WITH {ANSWERS}, {_tiled(f"(SELECT * FROM ans WHERE length({strip('text')}) > 0)", 'answer_id', LOSSLESS_TILE)}
 SELECT answer_id, row_number() OVER (PARTITION BY answer_id ORDER BY pos) - 1 AS ordinal, {strip('piece')} AS claim_text, e - length(piece) AS char_start, e AS char_end,
        'rule_sentence_split_v2' AS extraction_method FROM t WHERE length({strip('piece')}) > 0"""
@@ -158,11 +163,33 @@ sc AS (SELECT query_id, key, ev, text, round(CASE WHEN list_sum(qe.v) = 0 OR lis
 h AS (SELECT query_id, ev, text, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, key) AS rank FROM sc QUALIFY rank <= 5),
 e AS (SELECT query_id AS answer_id, string_agg(ev, ',' ORDER BY rank) AS ids, max(ev) FILTER (rank = 1) AS top, max(text) FILTER (rank = 1) AS draft FROM h GROUP BY 1),
 src AS (SELECT query_id AS answer_id, coalesce(draft, 'No evidence found.') AS text FROM qs LEFT JOIN e ON e.answer_id = qs.query_id),
-{_claims('src')}
+{_claims('src')}"""
+
+_DRAFT = f"""rtrim(list_aggregate(list_slice(regexp_extract_all(coalesce(draft, 'No evidence found.'), '\\S+\\s*'), 1, 8), 'string_agg', ''))"""
+RECORDS = RAG.replace("coalesce(draft, 'No evidence found.') AS text", _DRAFT + " AS text").replace("string_agg(ev, ',' ORDER BY rank) AS ids", "string_agg(ev, ',' ORDER BY rank) AS ids, string_agg(split_part(ev, '#', 1), ',' ORDER BY rank) AS docs, count(*) AS n")
+RECORDS += """, k AS (SELECT answer_id, count(*) AS claims FROM cl GROUP BY 1)
+SELECT qs.query_id, qs.text AS query, src.text AS draft_response, coalesce(k.claims, 0) AS claims, len(regexp_extract_all(src.text, '\\S+')) AS tokens, len(regexp_extract_all(src.text, '\\S+')) AS scores,
+  coalesce(e.docs, '') AS evidence_used, 8::bigint AS max_new_tokens, 5::bigint AS top_k, coalesce(e.n, 0) AS num_retrieved, coalesce(e.docs, '') AS evidence_doc_ids
+FROM qs JOIN src ON src.answer_id = qs.query_id LEFT JOIN e ON e.answer_id = qs.query_id LEFT JOIN k ON k.answer_id = qs.query_id"""
+
+RAG += """
 SELECT sha256(answer_id || '#' || ordinal) AS claim_id, answer_id, ordinal, claim_text, coalesce(ids, '') AS evidence_candidates, coalesce(top, '') AS top_evidence FROM cl LEFT JOIN e USING (answer_id)"""
 
 ORACLES = {
     "rag_pipeline": RAG,
+    "pipeline_records": RECORDS,
+    "lsh_search": TOP5,
+    "index_add_equals_flat": TOP5,
+    "recall_at_k": """SELECT unnest(['ivf', 'lsh']) AS index_kind, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 0) * least(5, (SELECT count(*) FROM embeddings)) AS wanted, true AS enough, true AS within""",
+    "rerank_top5": f"""WITH h AS ({TOP5}) SELECT h.query_id, h.vec_id, h.rank AS first_rank,
+        row_number() OVER (PARTITION BY h.query_id ORDER BY abs(e.label - q.label), h.rank) AS rank FROM h JOIN embeddings e USING (vec_id) JOIN embeddings q ON q.vec_id = h.query_id""",
+    "contradicted_claims": f"""WITH {TURNS}, d AS (SELECT conv_id, turn, coalesce({_share(tokens)}, 0.0) AS s, ((turn + conv_id) % 5) / 5 AS c FROM tu)
+        SELECT conv_id, turn, CASE WHEN c >= 0.5 THEN 'Contradictory' WHEN s >= 0.4 THEN 'Supported' ELSE 'Low Confidence' END AS status,
+          CASE WHEN c >= 0.5 THEN 'none' WHEN s >= 0.7 THEN 'High' WHEN s >= 0.4 THEN 'Low' ELSE 'none' END AS band, round(c, 6) AS contradict_prob, round(s * (1 - c), 6) AS overall_confidence FROM d""",
+    "entailment_rollup": f"""WITH p AS (SELECT a.conv_id || '#' || a.turn AS claim_key, a.text AS claim, b.text AS evidence FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn < a.turn WHERE a.role = 'assistant'),
+        j AS (SELECT claim_key, {_share(tokens)} AS en, CASE WHEN {NUMERIC} THEN 0.0 ELSE 1.0 END::double AS co FROM p)
+        SELECT claim_key, count(*) AS pairs, round(max(en), 6) AS max_entailment_prob, round(max(co), 6) AS max_contradiction_prob,
+          round(count(*) FILTER (en >= 0.2)::double / nullif(count(en), 0), 6) AS entailment_ratio FROM j GROUP BY 1""",
     "retrieve_top5": TOP5,
     "retrieve_single": _top("vec_id = 0", 10),
     "retrieve_exclude_self": _top("vec_id % 20 = 0", 5, "WHERE q.query_id <> e.vec_id"),
@@ -186,12 +213,14 @@ ORACLES = {
     "doc_char_stats": "SELECT count(*) AS articles, sum(length(text))::bigint AS total_chars, round(avg(length(text)), 6) AS avg_chars FROM documents",
     "claims_regex": f"{CLAIMS} SELECT sha256(answer_id || '#' || ordinal) AS claim_id, answer_id, ordinal, claim_text, char_start, char_end, 'rule_sentence_split_v1' AS extraction_method FROM cl",
     "claims_lossless": LOSSLESS_CLAIMS,
-    "claims_tail": f"{CLAIMS} SELECT answer_id, claim_text, char_start, char_end FROM cl WHERE tail AND char_start > 0",
-    "claims_no_boundary": f"{CLAIMS} SELECT answer_id, claim_text, char_start, char_end FROM cl WHERE tail AND char_start = 0",
+    "claims_tail": f"{_changed("text || ' and what follows has no end'")} SELECT answer_id, claim_text, char_start, char_end FROM cl WHERE tail AND char_start > 0",
+    "claims_no_boundary": f"{_changed("translate(text, '.!?', ',;:')")} SELECT answer_id, claim_text, char_start, char_end FROM cl WHERE tail AND char_start = 0",
+    "claim_totals": f"{CLAIMS} SELECT count(DISTINCT answer_id) AS answers, count(*) AS claims, round(count(*)::double / count(DISTINCT answer_id), 6) AS avg_claims FROM cl",
+    "claims_without_ids": f"WITH ans AS (SELECT DISTINCT sha256(text) AS answer_id, text FROM conversations WHERE role = 'assistant'), {_claims('ans')} SELECT answer_id, ordinal, claim_text FROM cl",
     "claim_span_validation": f"{CLAIMS} SELECT answer_id, bool_and({strip('substr(whole, char_start + 1, char_end - char_start)')} = claim_text) AS valid, count(*) AS claims FROM cl GROUP BY 1",
     "bm25_top5": f"WITH {_bm25(5)} SELECT query_id, doc_id, score, rank FROM hits",
-    "hybrid_top5": f"""WITH {_bm25(20)}, v AS (SELECT h.query_id, h.doc_id, h.score AS bm25, {encoded('i.text')} AS x, {encoded('d.text')} AS y
-          FROM hits h JOIN items i USING (query_id) JOIN documents d ON d.doc_id = h.doc_id),
+    "hybrid_top5": f"""WITH {_bm25(5)}, ie AS (SELECT query_id, {encoded('text')} AS x FROM items), de AS (SELECT doc_id, {encoded('text')} AS y FROM documents),
+        v AS (SELECT ie.query_id, de.doc_id, coalesce(sc.score, 0.0) AS bm25, x, y FROM ie CROSS JOIN de LEFT JOIN sc ON sc.query_id = ie.query_id AND sc.doc_id = de.doc_id),
         s AS (SELECT query_id, doc_id, bm25, round(CASE WHEN list_sum(x) = 0 OR list_sum(y) = 0 THEN 0.0 ELSE list_dot_product(x, y) / sqrt(list_dot_product(x, x)) / sqrt(list_dot_product(y, y)) END, 6) AS dense FROM v),
         h2 AS (SELECT *, round(0.5 * dense + 0.5 * (bm25 / (bm25 + 10)), 6) AS hybrid FROM s)
         SELECT query_id, doc_id, dense, bm25, hybrid, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, doc_id) AS rank FROM h2 QUALIFY rank <= 5""",
@@ -200,7 +229,7 @@ ORACLES = {
     "format_prompt": f"""WITH {_bm25(3)}, e AS (SELECT query_id, string_agg('[' || rank || '] ' || d.text, ' ' ORDER BY rank) AS ctx FROM hits JOIN documents d USING (doc_id) GROUP BY 1)
         SELECT query_id, CASE WHEN ctx IS NULL THEN '' ELSE 'Context: ' || ctx || E'\\n\\n' END || 'Question: ' || text || E'\\n\\nAnswer:' AS prompt FROM items LEFT JOIN e USING (query_id)""",
     "claim_evidence_pairs": f"""WITH {_bm25(5)}, src AS (SELECT query_id AS answer_id, text FROM items), {_claims('src')},
-        e AS (SELECT query_id AS answer_id, string_agg(doc_id || '#' || rank, ',' ORDER BY rank) AS ids, max(doc_id || '#' || rank) FILTER (rank = 1) AS top, count(*) AS k FROM hits GROUP BY 1)
+        e AS (SELECT query_id AS answer_id, string_agg(doc_id || '#0', ',' ORDER BY rank) AS ids, max(doc_id || '#0') FILTER (rank = 1) AS top, count(*) AS k FROM hits GROUP BY 1)
         SELECT sha256(answer_id || '#' || ordinal) AS claim_id, answer_id, coalesce(ids, '') AS evidence_candidates, coalesce(top, '') AS top_evidence, coalesce(k, 0) AS n_evidence FROM cl LEFT JOIN e USING (answer_id)""",
     "vector_norms": "SELECT vec_id, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) AS norm FROM embeddings",
     "l2_normalise": f"""WITH v AS (SELECT vec_id, list_transform(embedding::double[], lambda x: x * 3 + 0.25) AS v FROM embeddings), u AS (SELECT vec_id, {_unit('v')} AS u FROM v),

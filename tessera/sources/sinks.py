@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import logging
+import os
+import time
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,6 +20,50 @@ def write_chunks(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_vectors(df: DataFrame, path: str, model: str, vector: str = "embedding") -> dict:
+    """Vectors and, beside them, one row that says what they are: model, dimension, rows and rows by source if there is one."""
+    df.write.mode("overwrite").parquet(f"{path}/vectors")
+    written = df.sparkSession.read.parquet(f"{path}/vectors")
+    facts = written.agg(F.count("*").alias("rows"), F.min(F.size(vector)).alias("least"), F.max(F.size(vector)).alias("dimension")).first()
+    if facts["rows"] and facts["least"] != facts["dimension"]:
+        raise ValueError(f"vectors of {facts['least']} to {facts['dimension']} dimensions")
+    meta = {"model": model, "dimension": facts["dimension"] or 0, "rows": facts["rows"]}
+    df.sparkSession.createDataFrame([tuple(meta.values())], "model string, dimension int, rows long").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    return meta
+
+
+def read_vectors(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    meta, rows = spark.read.schema("model string, dimension int, rows long").json(f"{path}/metadata").first().asDict(), spark.read.parquet(f"{path}/vectors")
+    if rows.count() != meta["rows"]:
+        raise ValueError(f"{path} holds {rows.count()} vectors, its metadata says {meta['rows']}")
+    return rows, meta
+
+
+def write_results(df: DataFrame, path: str) -> None:
+    """Whole records as JSON lines; null fields stay, logits are what ``logits_shape`` made of them."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def observed(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, Observation]:
+    """df, and counts that are taken while it is written: rows, and what else is asked for. ``log_observed`` reports them."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(n) for n, c in measures.items())), seen
+
+
+def log_observed(seen: Observation, began: float, path: str | None = None) -> dict:
+    """Logs what was seen and the rows in a second, to a file too if one is named."""
+    took = max(1e-9, time.time() - began)
+    found = dict(seen.get) | {"seconds": round(took, 3), "rows_per_second": round(seen.get["rows"] / took, 3)}
+    log = logging.getLogger("tessera")
+    if path and not any(getattr(h, "baseFilename", None) == os.path.abspath(path) for h in log.handlers):
+        handler = logging.FileHandler(path)
+        handler.setFormatter(logging.Formatter("%(asctime)s %(name)s %(levelname)s %(message)s"))
+        log.addHandler(handler)
+        log.setLevel(logging.INFO)
+    log.info(json.dumps(found))
+    return found
+
+
 def resume(todo: DataFrame, spark: SparkSession, path: str, key: str, model: str, dimension: int) -> DataFrame:
     """Rows whose key no committed part holds. Parts of another model or dimension are refused."""
     try:

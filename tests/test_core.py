@@ -1,9 +1,11 @@
 """The core engine on small tables: sources, sentences, retrieval, evidence, verification."""
 
+import hashlib
 import json
 import math
 import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -216,7 +218,126 @@ def test_small_tables_are_searched_whole(spark, tmp_path):
     rows = [(i, [float(a) for a in v / np.linalg.norm(v)]) for i, v in enumerate(x)]
     spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert sorted(catalog.ivf_search(spark, str(tmp_path)).collect()) == sorted(catalog.retrieve_top5(spark, str(tmp_path)).collect())
-    assert [r.recall for r in catalog.recall_at_k(spark, str(tmp_path)).filter("index_kind = 'ivf'").collect()] == [1.0]
+    assert [r.recall for r in catalog.recall_report(spark, str(tmp_path)).filter("index_kind = 'ivf'").collect()] == [1.0]
+
+
+def test_vectors_that_do_not_fit(spark, vectors):
+    """Null vectors, those that hold a null, and those of another length neither crash nor meet the others."""
+    m, df = vectors
+    odd = spark.createDataFrame([(1000, None), (1001, [1.0, None]), (1002, [0.6, 0.8]), (1003, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    both = df.unionByName(odd)
+    q = both.filter("vec_id % 20 = 0 OR vec_id > 999")
+    got = found(retrieval.top_k(q, both, 5, rows=64))
+    assert {k: v for k, v in got.items() if k < 1000} == plain_top(m, range(0, 300, 20), 5) and got[1002] == [1002, 1003] and 1001 not in got
+    with pytest.raises(Exception, match="dimension"):
+        retrieval.top_k(q, both, 5, dimension=16).collect()
+    assert [r.vec_id for r in retrieval.search_one(spark, m[40], df, 3).orderBy("rank").collect()] == plain_top(m, [40], 3)[40]
+
+
+def test_hyperplanes_lose_no_hit_to_repeats(spark, vectors):
+    few = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(1).standard_normal((12, 8)))], "vec_id long, embedding array<double>")
+    index = retrieval.HyperplaneIndex(few, 8, tables=40, bits=3)
+    assert retrieval.recall(index.search(few, 5), retrieval.top_k(few, few, 5)).first().recall >= 0.9
+    whole = retrieval.HyperplaneIndex(few, 8)
+    assert (whole.bits, whole.tables) == (0, 1) and whole.compared(few) == 144
+
+
+def test_added_rows_are_found(vectors):
+    m, df = vectors
+    index = retrieval.InvertedFile.build(df.filter("vec_id < 200"), 6).add(df.filter("vec_id >= 200"))
+    q = df.filter("vec_id % 20 = 0")
+    assert found(index.search(q, 5, probes=6)) == plain_top(m, range(0, 300, 20), 5)
+    assert index.compared(q, 6) == 15 * 300 > index.compared(q, 1)
+
+
+def test_offsets_in_linear_time(spark):
+    n = 64_000
+    df = spark.createDataFrame([("a", "One two. " * n)], "doc_id string, text string")
+    spark.createDataFrame([("b", "One two. " * 10)], df.schema).select(F.size(sentences.lossless_sentences("text"))).first()
+    began = time.time()
+    last = df.select(F.element_at(sentences.lossless_sentences("text"), -1).alias("s")).first().s
+    assert (last.start, last.end) == (9 * (n - 1), 9 * n) and time.time() - began < 4
+    assert sentences.chunk_text(spark, "First sentence here. Second one there.").count() == 2
+
+
+def test_chunks_and_vectors_come_back(spark, tmp_path):
+    own = sentences.chunks(spark.createDataFrame([("a", "First sentence here. Second one there.")], "doc_id string, text string"))
+    sinks.write_chunks(own, f"{tmp_path}/chunks")
+    with open(f"{tmp_path}/chunks/part-x.json", "w") as f:
+        f.write('{"doc_id": "b", "text"\n{"doc_id": null, "text": "x"}\n')
+    good, bad = articles.read_chunks(spark, f"{tmp_path}/chunks")
+    assert sorted(good.collect()) == sorted(own.collect())
+    assert sorted(r.line[:13] for r in bad.collect()) == ['{"doc_id": "b', '{"text":"x"}'[:13]]
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sinks.write_vectors(vectors, f"{tmp_path}/v", "m") == {"model": "m", "dimension": 2, "rows": 2}
+    rows, meta = sinks.read_vectors(spark, f"{tmp_path}/v")
+    assert rows.count() == 2 and meta["dimension"] == 2
+    with pytest.raises(ValueError, match="dimensions"):
+        sinks.write_vectors(vectors.union(spark.createDataFrame([(3, [1.0])], vectors.schema)), f"{tmp_path}/w", "m")
+    df, seen = sinks.observed(vectors, "written", wide=F.count_if(F.size("embedding") > 1))
+    began = time.time()
+    df.write.parquet(f"{tmp_path}/seen")
+    facts = sinks.log_observed(seen, began, f"{tmp_path}/log.txt")
+    assert (facts["rows"], facts["wide"]) == (2, 2) and "rows_per_second" in open(f"{tmp_path}/log.txt").read()
+
+
+CONFIG = """
+models: {sentence_transformer: none, generator: shouting}
+data: {articles: "%s/{strategy}"}
+data_strategy: {development: {max_articles: 1}}
+processing: {device: cpu, batch_size: 4, min_sentence_length: 12}
+retrieval: {top_k: 2}
+generation: {max_new_tokens: 3, temperature: 0.5}
+"""
+
+
+def test_pipeline_from_configuration(spark, tmp_path):
+    class Shouting(plugins.ExtractiveGenerator):
+        name = "shouting"
+
+        def answer(self, df, evidence_texts="evidence_texts"):
+            return super().answer(df, evidence_texts).withColumn("draft_response", F.upper("draft_response"))
+
+    plugins.register("generator", "shouting", Shouting())
+    with pytest.raises(ValueError):
+        plugins.register("generator", "shouting", Shouting())
+    with pytest.raises(ValueError):
+        plugins.register("painter", "x", None)
+    docs = spark.createDataFrame([("a", "T", "Cats sleep all day long. Too short. Dogs bark at night loudly.", "u"), ("b", "T", "Dogs bark at noon, every day.", "u")], schemas.ARTICLE)
+    sinks.write_articles(docs, f"{tmp_path}/development", "src")
+    path = f"{tmp_path}/config.yaml"
+    with open(path, "w") as f:
+        f.write(CONFIG % tmp_path)
+    plan = Pipeline.from_config(spark, path)
+    assert plan.k == 2 and plan.corpus.count() == 2  # one article, two sentences that are long enough
+    q = spark.createDataFrame([(1, "dogs bark"), (2, " "), (3, "cats " * 600)], "query_id long, text string")
+    got = {r.query_id: r for r in plan.records(q).collect()}
+    g = got[1].generator_metadata
+    assert got[1].draft_response == g.text == "DOGS BARK AT" and g.tokens == ["DOGS ", "BARK ", "AT "] and len(g.token_ids) == 3 and g.scores == [1.0] * 3
+    assert g.evidence_used == ["a", "a"] == got[1].retrieval_metadata.evidence_doc_ids and g.generation_config.asDict()["model_name"] == "shouting" and g.generation_config.temperature == 0.5
+    pair = got[1].claim_evidence_pairs[0]
+    assert pair.claim_text == "DOGS BARK AT" and len(pair.evidence_candidates) == 2 and pair.top_evidence == pair.evidence_candidates[0] and pair.answer_char_span == [0, 12]
+    assert got[2].retrieval_metadata.num_retrieved == 0 and got[2].retrieval_metadata.top_score == 0.0 and got[2].generator_metadata.evidence_used == []
+    assert len(got[3].generator_metadata.prompt_text.split()) == 512
+    sinks.write_results(plan.records(q), f"{tmp_path}/out")
+    lines = [json.loads(x) for p in os.listdir(f"{tmp_path}/out") if p.endswith(".json") for x in open(f"{tmp_path}/out/{p}")]
+    assert {x["query_id"] for x in lines} == {1, 2, 3} and set(lines[0]) == {"query_id", "query", "draft_response", "claim_evidence_pairs", "generator_metadata", "retrieval_metadata"}
+    with pytest.raises(ValueError):
+        Pipeline.from_config(spark, path, "unheard")
+
+
+def test_rollup_rerank_and_single_encoding(spark):
+    pairs = spark.createDataFrame([("c", 0.9, 0.1), ("c", 0.2, 0.7), ("c", None, None), ("d", None, None)], "claim_id string, nli_entail double, nli_contradict double")
+    got = {r.claim_id: r for r in verify.entailment_rollup(pairs).collect()}
+    assert (got["c"].pairs, got["c"].max_entailment_prob, got["c"].max_contradiction_prob, got["c"].entailment_ratio) == (3, 0.9, 0.7, 0.5) and got["d"].entailment_ratio is None
+    hits = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2), (1, 12, 0.7, 3)], "query_id long, vec_id long, score double, rank int")
+    assert [r.vec_id for r in retrieval.rerank(hits, (F.col("vec_id") % 2).cast("double"), 2).orderBy("rank").collect()] == [11, 10]
+    v = plugins.encode_single(spark, plugins.HashEncoder(), "a b a")
+    assert len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-9
+    ids = {r.answer_id for r in sentences.claims(spark.createDataFrame([("One. Two.",), ("Three.",)], "text string"), None).collect()}
+    assert ids == {hashlib.sha256(t.encode()).hexdigest() for t in ("One. Two.", "Three.")}
+    total = sentences.claim_total(sentences.claims(spark.createDataFrame([("x", "One. Two."), (None, "Three.")], "answer_id string, text string"))).first()
+    assert (total.answers, total.claims, total.avg_claims) == (2, 3, 1.5)
 
 
 def test_vector_functions(spark):

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import shutil
 import subprocess
 import sys
 
@@ -22,8 +23,30 @@ def test_core_does_not_import_the_subpackage():
     assert subprocess.run([sys.executable, "-c", code], cwd=TOP).returncode == 0
 
 
+COUNT = "import __spark_entry__ as e; q = e.queries(); print(len(q), sum(n.startswith('op') or n == 'pipeline' for n in q)); assert set(e.oracle_sql()) <= set(q)"
+
+
+def counted(top, before=""):
+    out = subprocess.run([sys.executable, "-c", before + COUNT], cwd=top, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(top)})
+    assert out.returncode == 0, out.stderr
+    return tuple(map(int, out.stdout.split()))
+
+
+def test_a_copy_without_the_subpackage_stands(tmp_path):
+    shutil.copytree(TOP, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    core, llm = counted(tmp_path / "repo")
+    assert core > 50 and llm == 0
+    assert subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path / "repo", capture_output=True).returncode == 0
+
+
+@pytest.mark.parametrize("missing", ["xxhash", "regex", "corpus_pipeline", "tessera.llm"])
+def test_a_missing_dependency_leaves_the_core(missing):
+    core, llm = counted(TOP, f"import sys; sys.modules['{missing}'] = None; ")
+    assert core > 50 and llm == 0
+
+
 @pytest.mark.skipif(not glob.glob(SF), reason="no small tables")
-@pytest.mark.parametrize("name", ["retrieve_top5", "filter_reasons", "chunk_stats", "claims_regex", "bm25_top5", "claim_decisions", "ablation"])
+@pytest.mark.parametrize("name", ["retrieve_top5", "filter_reasons", "chunk_stats", "claims_regex", "claims_tail", "hybrid_top5", "pipeline_records", "entailment_rollup", "ablation"])
 def test_equals_sql(spark, name):
     import duckdb
 

@@ -1,7 +1,11 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-Rows that a stage cannot judge (null text, null source) follow the operator's defined results.
+
+Defined results: a null or empty text, or one without a letter, is rejected by the first stage; a null language or source
+plays no part before mixing, where it is a leaf named ``none``; texts may be of any length; of rows that are equal in id and
+text one stays, of equal texts that of the smallest id, ties fall to the smaller hash; an empty table gives an empty one;
+further columns, whatever their names, stay with their rows up to the last stage, which returns its own.
 """
 
 from __future__ import annotations

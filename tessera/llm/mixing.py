@@ -10,7 +10,7 @@ words would make a Chinese or Japanese text a single token.
 
 The prefix is found without sorting a leaf: documents fall into BINS bins of their order hash, whose running
 sums name one bin at the edge; that bin's documents fall into BINS bins of the next bits, and so on until a bin
-has about BIN_ROWS documents, which are summed one by one. So no window holds more than BINS rows of a leaf, however
+has about BIN_ROWS documents, which are summed one by one. So no window holds more than about BIN_ROWS rows of a leaf, however
 large. What is left of the prefix is one threshold for each leaf, so the choice itself is a filter on each
 row and no text is shuffled. The leaves are the only thing that the driver sees or broadcasts; more than
 MAX_LEAVES are refused, as a budget that leaves some out would be wrong.
@@ -31,7 +31,7 @@ from tessera.llm.common import cut, drop, free_prefix
 
 MAX_LEAVES = 100_000
 BIN_ROWS = 512
-BITS = 12
+BITS = 8
 BINS = 1 << BITS
 NONE = "none"
 LEVELS = ("domain", "lang", "source")

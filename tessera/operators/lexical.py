@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
 from tessera.functions.vectors import hash_encode
+from tessera.shipping import ship
 
 K1 = 1.2
 B = 0.75
@@ -83,6 +84,7 @@ def hybrid_top_k(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str
     """query_id, doc_id, dense, bm25, hybrid, rank: the k best of all documents with an id by the weighted sum; ties to
     the smaller id. Every query meets every document, in blocks: the cosine of the hashed encodings is one matrix
     product, the full BM25 sum another (0 where no token is shared), and a pair of blocks leaves k rows a query."""
+    ship(queries.sparkSession)
     terms = _terms(queries, query_id, text)
     held = _weights(terms, docs, doc_id, text, K1, B).groupBy("doc_id").agg(F.collect_list(F.struct("term", "w")).alias("ws"))
     own = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), hash_encode(text).alias("v")).join(held, "doc_id", "left")

@@ -45,6 +45,21 @@ def test_a_missing_dependency_leaves_the_core(missing):
     assert core > 50 and llm == 0
 
 
+@pytest.mark.skipif(not glob.glob(SF), reason="no small tables")
+def test_workers_get_the_package(tmp_path):
+    """As on a cluster: no Python worker has the repository on its path."""
+    code = f"""import sys; sys.path.insert(0, {TOP!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+for name in ("retrieve_top5", "hybrid_top5", "lsh_search", "index_add_equals_flat"):
+    assert e.queries()[name](spark, {SF!r}).count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH" and not k.startswith(("PYSPARK_", "SPARK_"))}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env | {"PYSPARK_PYTHON": sys.executable})
+    assert out.returncode == 0, out.stderr[-2000:]
+
+
 @pytest.mark.skipif(not glob.glob(SF), reason="no small tables")
 @pytest.mark.parametrize("name", ["retrieve_top5", "filter_reasons", "chunk_stats", "claims_regex", "claims_tail", "hybrid_top5", "pipeline_records", "entailment_rollup", "ablation"])
 def test_equals_sql(spark, name):

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: The white space that Python's str.strip removes, as a character class body for Java and RE2.
 WS = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F"
 
+#: The same characters one by one.
+WS_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
 #: The markup cleaner's steps in their order; pattern, Java flags, replacement (group by number).
 CLEANER = (
     (r"<!--.*?-->", "s", ""),
@@ -42,19 +45,26 @@ def _col(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    return F.regexp_replace(_col(c), rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
 def blank(c: str | Column) -> Column:
     return F.length(strip(F.coalesce(_col(c), F.lit("")))) == 0
 
 
+#: Every step's match holds one of these, so a text without any is left as it is.
+MARKS = ("<", "{{", "[", "''", "\n\n\n")
+
+
 def clean_markup(c: str | Column) -> Column:
     """Markup out, contents kept; the steps' order is part of the meaning."""
-    out = _col(c)
+    text = out = _col(c)
     for pattern, flags, group in CLEANER:
         out = F.regexp_replace(out, (f"(?{flags})" if flags else "") + pattern, f"${group}" if group.isdigit() else group)
-    return strip(out)
+    marked = F.contains(text, F.lit(MARKS[0]))
+    for m in MARKS[1:]:
+        marked |= F.contains(text, F.lit(m))
+    return strip(F.when(marked, out).otherwise(text))
 
 
 def tiles(c: str | Column, pattern: str) -> Column:

@@ -45,6 +45,11 @@ def _col(c: str | Column) -> Column:
 
 
 def strip(c: str | Column) -> Column:
+    return F.regexp_replace(_col(c), rf"\A[{WS}]+|[{WS}]+\z", "")
+
+
+def trimmed(c: str | Column) -> Column:
+    """strip of a whole text without a scan of its inside; for pieces in a lambda strip is the faster one."""
     return F.btrim(_col(c), F.lit(WS_CHARS))
 
 
@@ -64,7 +69,7 @@ def clean_markup(c: str | Column) -> Column:
     marked = F.contains(text, F.lit(MARKS[0]))
     for m in MARKS[1:]:
         marked |= F.contains(text, F.lit(m))
-    return strip(F.when(marked, out).otherwise(text))
+    return trimmed(F.when(marked, out).otherwise(text))
 
 
 def tiles(c: str | Column, pattern: str) -> Column:

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera import schemas
-from tessera.functions.text import LOSSLESS_TILE, RULE_LAST, RULE_SENTENCE, RULE_TILE, clean_markup, strip
+from tessera.functions.text import LOSSLESS_TILE, RULE_LAST, RULE_SENTENCE, RULE_TILE, clean_markup, strip, trimmed
 from tessera.functions.vectors import dot, entropy, hash_encode, norm, softmax
 from tessera.operators import evidence, lexical, ordinals, plugins, retrieval, sentences, verify
 from tessera.plans import catalog
@@ -465,3 +465,4 @@ def test_strip_is_pythons(spark):
     texts = ["\x1f a ", "　x  ", " \t\n", "a b", "\x85z\x1c"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.s for r in df.select(strip("t").alias("s")).collect()] == [t.strip() for t in texts]
+    assert [r.s for r in df.select(trimmed("t").alias("s")).collect()] == [t.strip() for t in texts]

@@ -466,3 +466,24 @@ def test_strip_is_pythons(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.s for r in df.select(strip("t").alias("s")).collect()] == [t.strip() for t in texts]
     assert [r.s for r in df.select(trimmed("t").alias("s")).collect()] == [t.strip() for t in texts]
+
+
+def test_search_in_slices_and_tiles_is_exact(spark, vectors, monkeypatch):
+    """Queries in many slices, rows in small tiles, vectors that are not finite, huge or equal, and a row that must not find itself."""
+    m, df = vectors
+    odd = spark.createDataFrame([(900, [float("nan")] * 16), (901, [float("inf")] * 16), (902, [0.0] * 16), (None, [1.0] * 16), (903, [1e20] + [0.0] * 15)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(retrieval, "CELLS", 16 * 4)
+    monkeypatch.setattr(retrieval, "TILE", (3, 7))
+    q = df.filter("vec_id % 20 = 0 OR vec_id = 7")
+    got = found(retrieval.top_k(q, df.unionByName(odd.filter("vec_id < 903")), 5, rows=7))
+    whole, rows = np.vstack([m, np.zeros(16)]), [*range(300), 902]
+    plain = lambda i, own: sorted((r for r in rows if own or r != i), key=lambda r: (-np.round(whole[rows.index(r)] @ m[i], 9), r))[:5]
+    assert got == {i: plain(i, True) for i in [*range(0, 300, 20), 7]}
+    assert found(retrieval.top_k(q, df, 5, rows=7, skip_self=True)) == {i: plain(i, False) for i in [*range(0, 300, 20), 7]}
+    assert found(retrieval.top_k(odd.filter("vec_id = 903"), df.unionByName(odd), 2))[903][0] == 903
+    index = retrieval.InvertedFile.build(df, 8)
+    centres = np.array([r.centre for r in index.centres.orderBy("list_id").collect()])
+    own = {r.vec_id: r.list_id for r in index.vectors.collect()}
+    near = {i: set(np.argsort(-(centres @ m[i]), kind="stable")[:3]) for i in got}
+    assert found(index.search(q, 5, probes=3)) == {i: sorted((r for r in own if own[r] in near[i]), key=lambda r: (-np.round(m[r] @ m[i], 9), r))[:5] for i in got}
+    assert index.compared(q, 3) == sum(own[r] in near[i] for i in got for r in own)

@@ -8,6 +8,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -487,3 +488,28 @@ def test_search_in_slices_and_tiles_is_exact(spark, vectors, monkeypatch):
     near = {i: set(np.argsort(-(centres @ m[i]), kind="stable")[:3]) for i in got}
     assert found(index.search(q, 5, probes=3)) == {i: sorted((r for r in own if own[r] in near[i]), key=lambda r: (-np.round(m[r] @ m[i], 9), r))[:5] for i in got}
     assert index.compared(q, 3) == sum(own[r] in near[i] for i in got for r in own)
+
+
+def test_hash_matrix_equals_the_column(spark):
+    texts = ["", "  ", None, "Cats, cats & DOGS 42", "İstanbul 3K Été Σ", "a" * 500 + " b\x00c\nd", "  x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", hash_encode("text").alias("v")).orderBy("i").collect()
+    assert np.array_equal(np.array([r.v for r in rows]), plugins.HashEncoder().batch(pa.array(texts)))
+
+
+def test_keys_follow_document_and_sentence(spark):
+    """Ids that are numbers, are none, are missing or come twice: every chunk has a key of its own, in the order of ids."""
+    docs = spark.createDataFrame([("10", "Birds sing at dawn. Birds sing at dawn."), ("9", "Birds sing at dawn."), ("x", "Birds sing at dawn."), ("9", "Fish swim in the sea.  Birds sing at dawn. "), (None, "Birds sing at dawn."), ("8", None)], "doc_id string, text string")
+    plan = Pipeline.from_documents(docs, k=7)
+    rows = plan.corpus.orderBy("chunk_key").collect()
+    assert len({r.chunk_key for r in rows}) == 7 and [r.doc_id for r in rows] == [None, "x", "9", "9", "9", "10", "10"]
+    hits = plan.retrieve(spark.createDataFrame([(1, "birds sing at dawn")], "query_id long, text string")).orderBy("rank").collect()
+    assert len(hits) == 7 and [h.chunk_key for h in hits[:6]] == sorted(r.chunk_key for r in rows if r.text.startswith("Birds")) and {h.text for h in hits[:6]} == {"Birds sing at dawn."}
+
+
+def test_texts_are_encoded_where_they_are_searched(spark):
+    """One Arrow batch of more texts than are encoded at once; copies tie."""
+    own = spark.range(5000).coalesce(1).select(F.col("id").alias("vec_id"), F.concat(F.lit("word"), (F.col("id") * 7 % 1900).cast("string"), F.lit(" and number "), (F.col("id") % 300).cast("string")).alias("embedding"))
+    encoder = plugins.HashEncoder()
+    plain = own.select("vec_id", encoder.column("embedding").alias("embedding"))
+    q = plain.filter("vec_id % 500 = 0")
+    assert found(retrieval.top_k(q, own, 5, encode=encoder.batch)) == found(retrieval.top_k(q, plain, 5)) != {}

@@ -243,6 +243,23 @@ def test_hyperplanes_lose_no_hit_to_repeats(spark, vectors):
     assert (whole.bits, whole.tables) == (0, 1) and whole.compared(few) == 144
 
 
+def test_hyperplanes_repeat_no_vector_for_its_buckets(spark, vectors):
+    """Only hits and counts leave the tasks; the hits are the best of the rows that share a bucket."""
+    m, df = vectors
+    q = df.filter("vec_id % 20 = 0")
+    index = retrieval.HyperplaneIndex(df, m.shape[1], tables=3, bits=4)
+    met = np.zeros((15, len(m)), dtype=int)
+    for p in index.planes:
+        side = m @ p.T > 0
+        met += (side[::20, None] != side).sum(axis=2) <= 1
+    assert index.compared(q) == met.sum()
+    hits = index.search(q, 5)
+    score = np.where(met > 0, np.round(m[::20] @ m.T, 9), -np.inf)
+    assert found(hits) == {20 * i: [int(j) for j in np.lexsort((np.arange(len(m)), -s))[:5] if s[j] > -np.inf] for i, s in enumerate(score)}
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Join" not in plan
+
+
 def test_added_rows_are_found(vectors):
     m, df = vectors
     index = retrieval.InvertedFile.build(df.filter("vec_id < 200"), 6).add(df.filter("vec_id >= 200"))

@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tessera.llm.chunks import ChunkEncoder, batches
-from tessera.llm.common import claim, remember, ship
+from tessera.llm.common import claim, release, remember, ship
 
 SHORT = 64  # bytes of a word that is merged side by side with others
+RUN = 2_000_000  # characters of the texts that are encoded together
 _NONE = np.int32(2**31 - 1)
 
 
@@ -208,7 +209,8 @@ def coder(content: bytes, pattern: str) -> tuple[Ranks, ChunkEncoder]:
 def encode_decode(df: DataFrame, rank_path: str, pattern: str, text: str = "text", ids: str = "ids_le", decoded: str = "decoded") -> DataFrame:
     """df with two binary columns: the ids of the text as little-endian unsigned 32-bit integers, and the bytes
     that those ids decode to. The rank file (about a megabyte; a vocabulary, it does not grow with the data) is
-    read on the driver and broadcast. No shuffle; memory is bounded by a batch of rows."""
+    read on the driver and broadcast. No shuffle; memory is bounded by a batch of rows. Spark keeps a worker after its
+    task, so it forgets its words and gives its memory back when a task ends."""
     spark = df.sparkSession
     ship(spark)
     with open(rank_path, "rb") as f:
@@ -217,12 +219,10 @@ def encode_decode(df: DataFrame, rank_path: str, pattern: str, text: str = "text
     names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.BinaryType())])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("bpe")
-        ranks, encoder = coder(content.value, pattern)
+    def coded(it: Iterator[pa.RecordBatch], ranks: Ranks, encoder: ChunkEncoder) -> Iterator[pa.RecordBatch]:
         for batch in it:
             at = 0
-            for texts in batches([t or "" for t in batch.column(text).to_pylist()]):
+            for texts in batches([t or "" for t in batch.column(text).to_pylist()], RUN):
                 found, counts = encoder.encode(texts)
                 bounds = 4 * np.concatenate(([0], np.cumsum(counts)))
                 rows = batch.slice(at, len(texts))
@@ -230,4 +230,13 @@ def encode_decode(df: DataFrame, rank_path: str, pattern: str, text: str = "text
                 columns = [rows.column(n) for n in names] + [joined(pa.py_buffer(found.tobytes()), bounds), ranks.decode(found, counts)]
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, ids, decoded])
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
+        ranks, encoder = coder(content.value, pattern)
+        try:
+            yield from coded(it, ranks, encoder)
+        finally:
+            encoder.known.clear()
+            release()
+
     return df.mapInArrow(run, schema)

@@ -10,6 +10,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import tiktoken
@@ -167,6 +168,18 @@ def test_bpe_of_a_table(docs, none):
     assert bpe.encode_decode(none, RANKS, P.PATTERN).count() == 0
 
 
+def test_idle_workers_remember_no_words(spark):
+    """Spark keeps workers after their tasks: what each holds then counts for its executor."""
+    docs = spark.range(0, 64, 1, 8).select(F.concat_ws(" ", F.lit("some words"), F.col("id")).alias("text"))
+    assert bpe.encode_decode(docs, RANKS, P.PATTERN).filter("decoded = CAST(text AS BINARY)").count() == 64
+
+    def held(it):
+        for batch in it:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e.known) for _, e in bpe._coders.values())] * len(batch), pa.int64())], names=["n"])
+
+    assert spark.range(0, 16, 1, 16).mapInArrow(held, "n long").agg(F.max("n")).first()[0] == 0
+
+
 def test_token_files_read_back(spark, docs, none):
     out = fresh_dir(spark, "test")
     manifest = token_files.write(docs, out, P.path("byte_bpe_50k.json"), P.PATTERN, 0, 50_257)
